@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, media, secrets, token_files
 
 QUERIES = {
+    "op2_media_columns": media.query,
+    "op5_secret_scan": secrets.query,
     "op7_byte_bpe": bpe.query,
+    "op10_token_files": token_files.query,
 }
 
 ORACLE: dict[str, str] = {}
