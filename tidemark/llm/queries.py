@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, media, secrets, token_files
+from . import bpe, langid, media, mix, quality, search, secrets, simhash, token_files, toxicity
 
 QUERIES = {
+    "op1_source_mix": mix.query,
     "op2_media_columns": media.query,
+    "op3_language_id": langid.query,
+    "op4_toxicity": toxicity.query,
     "op5_secret_scan": secrets.query,
+    "op6_top_k_search": search.query,
     "op7_byte_bpe": bpe.query,
+    "op8_simhash": simhash.query,
+    "op9_quality": quality.query,
     "op10_token_files": token_files.query,
 }
 
