@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import struct
 import uuid
 import zlib
 
@@ -23,10 +24,12 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Words remembered by one worker; beyond it the memory starts anew, which changes no result.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000
 #: Most shards of one set; a larger input gets larger shards.
 MOST_SHARDS = 20_000
 _READ = 8 << 20
+#: ASCII signs that can follow a word; not the apostrophe, which may stay with it.
+_SIGNS = rb"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""
 
 
 def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -191,8 +194,11 @@ class Shard:
 class WordCodec:
     """A tokenizers encoder that may encode white-space separated words one by one and remember them.
 
-    ``by_word`` is right for tokenizers whose pre-tokens never hold ASCII white space and whose normaliser never
-    joins characters across it; otherwise whole texts are encoded.
+    ``by_word`` is right for tokenizers whose normaliser lower-cases and never joins characters across white space,
+    and whose pre-tokens are runs of letters, or runs of signs, without white space, mapped character by character;
+    otherwise whole texts are encoded. A new word goes to the library's model directly if it is all letters (which
+    characters are, and what each is mapped to, is asked of the library's pre-tokeniser once a character), else
+    through its normaliser, pre-tokeniser and model in turn. Signs after a word are a word of their own.
     """
 
     def __init__(self, spec: str, dtype: str, by_word: bool):
@@ -203,17 +209,50 @@ class WordCodec:
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype, self.by_word = dtype, by_word
         self.known: dict[bytes, bytes] = {}
+        self.letters: dict[str, str | None] = {}
+        if by_word:
+            self.normal, self.split, self.merge = self.model.normalizer.normalize_str, self.model.pre_tokenizer.pre_tokenize_str, self.model.model.tokenize
+            a_to_z = "thequickbrownfoxjumpsoverlazydog"
+            self.plain = self.normal(a_to_z) == a_to_z and [p for p, _ in self.split(a_to_z)] == [a_to_z]
+
+    def _letter(self, c: str) -> str | None:
+        """What the pre-tokeniser maps a letter to; None for what is not part of a word."""
+        if c not in self.letters:
+            pieces = [p for p, _ in self.split(f"a{c}")]
+            self.letters[c] = (pieces[0][1:] or None) if len(pieces) == 1 and pieces[0][:1] == "a" else None
+        return self.letters[c]
+
+    def _word(self, word: bytes) -> bytes:
+        if (found := self.known.get(word)) is None:
+            text = word.decode()
+            if self.plain and word.isalpha():  # on bytes: A-Z and a-z
+                ids = [t.id for t in self.merge(text)]
+            else:
+                text = self.normal(text)
+                mapped = [self._letter(c) for c in text]
+                pieces = [p for p, _ in self.split(text)] if None in mapped else ["".join(mapped)]
+                ids = [t.id for p in pieces for t in self.merge(p)]
+            found = self.known[word] = struct.pack(f"<{len(ids)}{'H' if self.dtype == '<u2' else 'I'}", *ids)
+        return found
 
     def encode(self, text: bytes) -> bytes:
         if not self.by_word:
             return np.array(self.model.encode(text.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
         if len(self.known) > CACHE_ENTRIES:
             self.known = {}
-        words = text.split()  # splits bytes at ASCII white space alone
-        if new := [*set(words).difference(self.known)]:
-            for w, e in zip(new, self.model.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, self.dtype).tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+        words = text.lower().split()  # on bytes: A-Z alone, and ASCII white space alone
+        known, joined = self.known, []
+        for w in set(words).difference(known):
+            head = w.rstrip(_SIGNS)
+            if head and len(head) < len(w) and head[-1:].isalpha():
+                joined.append((w, self._word(head) + self._word(w[len(head) :])))
+            else:
+                self._word(w)
+        known.update(joined)
+        out = b"".join(map(known.__getitem__, words))
+        for w, _ in joined:  # made anew when they come again
+            del known[w]
+        return out
 
 
 _codecs: dict[str, WordCodec] = {}
