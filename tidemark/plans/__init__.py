@@ -1,0 +1,4 @@
+"""All queries over the event tables."""
+
+from . import basics, detectors, features, statistics, words  # noqa: F401
+from .registry import ORACLE, QUERIES  # noqa: F401
