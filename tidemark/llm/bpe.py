@@ -163,16 +163,18 @@ class Tokenizer:
 
         return F.pandas_udf(decode, "binary").asNondeterministic()(ids)
 
-    def digest(self, text: Column) -> Column:
-        """struct<n_tokens, ids_sha256, decoded_sha256> of encoding a text and decoding its ids again."""
+    def digest(self, text: Column, with_ids: bool = False) -> Column:
+        """struct<n_tokens, ids_sha256, decoded_sha256[, ids]> of encoding a text and decoding its ids again."""
         key, model, pattern = self.key, self.model, self.pattern
         kind = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+        if with_ids:
+            kind.add("ids", T.ArrayType(T.IntegerType()))
 
         def digest(texts: pd.Series) -> pd.DataFrame:
             codec, rows = _codec(key, model, pattern), []
             for t in texts:
                 ids, digits = codec.encode(t or "")
-                rows.append((len(ids), hashlib.sha256(digits.encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()))
+                rows.append((len(ids), hashlib.sha256(digits.encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest(), *([ids.astype(np.int32)] if with_ids else ())))
             return pd.DataFrame(rows, columns=kind.names)
 
         return F.pandas_udf(digest, kind).asNondeterministic()(text)

@@ -177,22 +177,36 @@ def components(edges: DataFrame) -> DataFrame:
     return now
 
 
-def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, fp, component_id.
+def near_duplicates(docs: DataFrame, words: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, columns to carry, fp, root, component_id.
 
     component_id is the smallest non-null doc_id that links reach, itself included (null only if all there are
-    null). Rows may repeat and share ids; texts without words have fingerprint zero and link like any other.
+    null); root is the component's smallest fingerprint. Rows may repeat and share ids; texts without words have
+    fingerprint zero and link like any other.
     """
-    spark = docs.sparkSession
-    prints, _ = common.materialize(docs.select("doc_id", fingerprint(F.col("text"), words).alias("fp")), "fingerprints")
+    prints, _ = common.materialize(docs.select("doc_id", *carry, fingerprint(F.col("text"), words).alias("fp")), "fingerprints")
     nodes, _ = common.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     stars = components(links(nodes, nodes.count()))
     members = stars.select(F.col("a").alias("fp"), F.col("b").alias("root")).unionByName(stars.groupBy("b").agg(F.lit(1).alias("n")).select(F.col("b").alias("fp"), F.col("b").alias("root")))
     members = members.join(nodes, "fp")
     roots = members.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    owners = members.join(roots, "root").select("fp", "component_id")
-    classes, _ = common.materialize(nodes.join(owners, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "classes")
-    return prints.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
+    owners = members.join(roots, "root").select("fp", "root", "component_id")
+    classes, _ = common.materialize(nodes.join(owners, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first_id").alias("component_id")), "classes")
+    return prints.join(classes, "fp", "left").select("doc_id", *carry, "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
+    """The rows of ``docs`` that stay, with its columns: of every component the row with the smallest doc_id.
+
+    Null ids come last; among rows of one id the one with the smaller hash of all columns stays, and of equal rows
+    one. Texts move once, to meet the hashes of the rows that stay.
+    """
+    names = docs.columns
+    h = next(f"row_hash_{i}" for i in range(len(names) + 1) if f"row_hash_{i}" not in names)
+    docs = docs.withColumn(h, F.xxhash64(*(F.col(f"`{n}`") for n in names)))
+    found = near_duplicates(docs, words, (h,))
+    stay = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", h)).alias("first")).select(F.col(f"first.{h}").alias(h)).distinct()
+    return docs.join(stay, h).dropDuplicates([h]).select(*(F.col(f"`{n}`") for n in names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
