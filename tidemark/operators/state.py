@@ -139,16 +139,14 @@ def first_seen(rows: DataFrame, keys: list[str], ts: str = "ts", tiebreak: str =
     return (F.row_number().over(W.partitionBy(*keys).orderBy(ts, tiebreak)) == 1).cast("int")
 
 
-def at_probes(rows: DataFrame, probes: DataFrame, aggs: list[Column], groups: tuple[str, ...] = (), width_ms: int | None = None, ts: str = "ts") -> DataFrame:
-    """Aggregates of all rows up to each probe: (probe_ts, groups, aggs). For sums, counts, minima and maxima.
+def sliding_at_probes(rows: DataFrame, probes: list[int], aggs: list[Column], width_ms: int, groups: tuple[str, ...] = (), ts: str = "ts") -> DataFrame:
+    """Aggregates over (probe - width, probe] at each of some times: (probe_ts, groups, aggs).
 
-    ``probes`` is a small table (it is broadcast), its times at any distance. Without a width, rows are first added
-    up between neighbouring probes and those totals are added along the probes, so nothing is read once per probe.
-    With a width, rows meet the probes that see them. Probes that see no row have no row.
+    Each row is repeated for the probes that see it and for no others. Probes that see no row have no row.
     """
-    if width_ms is None:
-        raise ValueError("use running_at_probes for unbounded reads")
-    seen = rows.join(F.broadcast(probes), (F.col(ts) <= F.col("probe_ts")) & (F.col(ts) > F.col("probe_ts") - width_ms))
+    times = F.array(*[F.lit(p).cast("long") for p in sorted(probes)])
+    sees = F.filter(times, lambda p: (p >= F.col(ts)) & (p < F.col(ts) + width_ms))
+    seen = rows.withColumn("probe_ts", F.explode(sees))
     return seen.groupBy("probe_ts", *groups).agg(*aggs)
 
 

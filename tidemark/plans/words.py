@@ -34,9 +34,8 @@ def keyword_count_asof(spark, sf_dir):
 @query(f"{_WORDS}, p AS (SELECT CAST(i * 100000 AS BIGINT) AS probe_ts FROM range(10) t(i)), c AS (SELECT p.probe_ts, w.word, count(*) AS cnt FROM p JOIN words w ON w.ts * 1000 <= p.probe_ts AND w.ts * 1000 > p.probe_ts - 30000 GROUP BY ALL) SELECT:: probe_ts, word, cnt FROM c QUALIFY row_number() OVER (PARTITION BY probe_ts ORDER BY cnt DESC, word) <= 20")
 def word_topk_sliding(spark, sf_dir):
     """The 20 commonest words of the trailing 30 seconds at each probe; words meet only the probes that see them."""
-    probes = spark.createDataFrame([(i * 100_000,) for i in range(10)], "probe_ts long")
     rows = words(spark, sf_dir).withColumn("ts", F.col("ts") * 1000)
-    counts = state.at_probes(rows, probes, [F.count(F.lit(1)).alias("cnt")], ("word",), WINDOW_MS)
+    counts = state.sliding_at_probes(rows, [i * 100_000 for i in range(10)], [F.count(F.lit(1)).alias("cnt")], WINDOW_MS, ("word",))
     return state.top_k(counts, TOP, "cnt", "word", ("probe_ts",))
 
 
