@@ -125,7 +125,7 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Discri
         for batch in batches:
             yield pd.DataFrame({"y": batch["y"], "x": [statistics(t) for t in batch["text"]]})
 
-    rows = sample.select("y", "text").mapInPandas(count, "y int, x array<double>").orderBy("y", "x").collect()
+    rows = sorted(sample.select("y", "text").mapInPandas(count, "y int, x array<double>").collect())  # TRAIN_ROWS rows of numbers
     y = np.array([r.y for r in rows])
     if min((y == 0).sum(), (y == 1).sum()) < 2:
         return None

@@ -215,7 +215,8 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Lexico
     else:
         exceptions = frozenset()
     lexicon = Lexicon(entries, exceptions)
-    rows = sample.select("y", _features(lexicon)(F.col("text")).alias("f")).select("y", "f.*").orderBy("y", *_NAMES).collect()  # TRAIN_ROWS rows of numbers
+    rows = sample.select("y", _features(lexicon)(F.col("text")).alias("f")).select("y", "f.*").collect()  # TRAIN_ROWS rows of numbers
+    rows.sort()
     for p in (path, own_path):
         common.delete_path(docs.sparkSession, p)
     return Lexicon(entries, exceptions, _fit_curve(np.array([r[1:] for r in rows]), np.array([r.y for r in rows], float)))
