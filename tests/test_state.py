@@ -88,18 +88,18 @@ def test_running_equals_brute_force(spark, random_rows, strict, split):
 
 @pytest.mark.parametrize("split", [False, True])
 def test_sliding_equals_brute_force(spark, random_rows, split):
-    out = state.sliding(ledger(spark, random_rows), ["k"], 13, {"s": F.sum("v"), "n": F.count(F.lit(1))}, split=split).collect()
+    out = state.sliding(ledger(spark, random_rows), ["k"], {"s": (F.sum("v"), 13), "n": (F.count(F.lit(1)), 13), "near": (F.count(F.lit(1)), 5)}, split=split).collect()
     assert len(out) == len(random_rows)
     for r in out:
         seen = brute(random_rows, (r.k, r.ts), width=13)
-        assert (r.s, r.n) == (sum(seen), len(seen))
+        assert (r.s, r.n, r.near) == (sum(seen), len(seen), len(brute(random_rows, (r.k, r.ts), width=5)))
 
 
 def test_asof_equals_brute_force(spark, random_rows):
     asked = [(k, t) for k in (0, 1, 5) for t in range(0, 200, 7)]
     reads = spark.createDataFrame([(*a, i) for i, a in enumerate(asked)], "k long, ts long, v long")
-    for strict, within in ((False, None), (True, None), (False, 10)):
-        rows = state.asof(reads, ledger(spark, random_rows).withColumnRenamed("v", "w"), ["k"], ["w"], strict=strict, within_ms=within).collect()
+    for strict, within, split in ((False, None, None), (True, None, 20), (False, 10, 50)):
+        rows = state.asof(reads, ledger(spark, random_rows).withColumnRenamed("v", "w"), ["k"], ["w"], strict=strict, within_ms=within, split_ms=split).collect()
         assert len(rows) == len(asked)
         for r in rows:
             seen = [(t, v) for k, t, v in random_rows if k == r.k and (t < r.ts if strict else t <= r.ts)]
@@ -109,10 +109,27 @@ def test_asof_equals_brute_force(spark, random_rows):
             assert (r.found_ts, r.w) == best
 
 
+@pytest.mark.parametrize(("strict", "width", "split"), [(False, None, None), (True, None, 30), (False, 13, None), (True, 13, None)])
+def test_asof_running_equals_brute_force(spark, random_rows, strict, width, split):
+    reads = spark.createDataFrame([(k, t) for k in (0, 1, 5) for t in range(0, 200, 7)], "k long, ts long")
+    kinds = {k: (k, "v") for k in ("sum", "count", "min", "max", "avg")}
+    for r in state.asof_running(reads, ledger(spark, random_rows), ["k"], kinds, strict=strict, width_ms=width, split_ms=split).collect():
+        seen = brute(random_rows, (r.k, r.ts), strict, width)
+        want = (sum(seen), len(seen), min(seen), max(seen), sum(seen) / len(seen)) if seen else (None,) * 5
+        assert (r["sum"], r["count"], r["min"], r["max"], r["avg"]) == want
+
+
+def test_first_rows_are_marked(spark):
+    rows = spark.createDataFrame([("a", 2, 1), ("a", 1, 2), ("a", 1, 3), ("b", 5, 4)], "k string, ts long, message_id long")
+    assert {r.message_id: r.new for r in state.mark_first(rows, ["k"], "new").collect()} == {1: 0, 2: 1, 3: 0, 4: 1}
+
+
 def test_ties_by_arrival(spark):
     rows = spark.createDataFrame([(0, 5, i) for i in range(4)], "k long, ts long, seq long")
     w = state.frame(["k"], ties="rows", tiebreak=("seq",))
     assert sorted(r.n for r in rows.withColumn("n", F.count(F.lit(1)).over(w)).collect()) == [1, 2, 3, 4]
+    split = state.running(rows, ["k"], {"n": ("count", F.lit(1))}, split_ms=2, ties="rows", tiebreak=("seq",))
+    assert {r.seq: r.n for r in split.collect()} == {0: 1, 1: 2, 2: 3, 3: 4}
     with pytest.raises(ValueError):
         state.frame(["k"], width_ms=5, ties="rows")
 

@@ -39,14 +39,14 @@ def frame(keys: list[str], ts: str = "ts", width_ms: int | None = None, strict:
     return part.orderBy(ts).rangeBetween(low, -1 if strict else 0)
 
 
-def running(rows: DataFrame, keys: list[str], aggs: dict[str, tuple[str, Column]], ts: str = "ts", strict: bool = False, split_ms: int | None = None) -> DataFrame:
+def running(rows: DataFrame, keys: list[str], aggs: dict[str, tuple[str, Column]], ts: str = "ts", strict: bool = False, split_ms: int | None = None, ties: str = "range", tiebreak: tuple[str, ...] = ()) -> DataFrame:
     """``rows`` with running aggregates: name -> (sum, count, min or max, expression).
 
     Sums and counts are 0 and others null before the first update. With ``split_ms`` the window runs within
     (keys, ts div split_ms) and totals of earlier buckets are joined on; sums must then be of whole numbers.
     """
     if split_ms is None:
-        w = frame(keys, ts, strict=strict)
+        w = frame(keys, ts, strict=strict, ties=ties, tiebreak=tiebreak)
         out = {n: _AGG[kind](e).over(w) for n, (kind, e) in aggs.items()}
         return rows.withColumns({n: F.coalesce(c, F.lit(0)) if aggs[n][0] in ("sum", "count") else c for n, c in out.items()})
     b = "__bucket"
@@ -54,7 +54,7 @@ def running(rows: DataFrame, keys: list[str], aggs: dict[str, tuple[str, Column]
     totals = placed.groupBy(*keys, b).agg(*[_AGG[kind](e).alias(f"__{n}") for n, (kind, e) in aggs.items()])
     earlier = W.partitionBy(*keys).orderBy(b).rowsBetween(W.unboundedPreceding, -1)
     before = totals.select(*keys, b, *[_OVER[kind](f"__{n}").over(earlier).alias(f"__{n}") for n, (kind, _) in aggs.items()])
-    w = frame([*keys, b], ts, strict=strict)
+    w = frame([*keys, b], ts, strict=strict, ties=ties, tiebreak=tiebreak)
     within = placed.withColumns({n: _AGG[kind](e).over(w) for n, (kind, e) in aggs.items()})
     joined = _null_safe(within, before, [*keys, b])
     return joined.withColumns({n: _COMBINE[kind](F.col(f"__{n}"), F.col(n)) for n, (kind, _) in aggs.items()}).drop(b, *[f"__{n}" for n in aggs])
@@ -66,47 +66,64 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(named, reduce(lambda a, c: a & c, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])).drop(*[f"__r_{k}" for k in keys])
 
 
-def sliding(rows: DataFrame, keys: list[str], width_ms: int, aggs: dict[str, Column], ts: str = "ts", split: bool = False) -> DataFrame:
-    """``rows`` with aggregates over (ts - width, ts] of their keys; ``aggs`` are aggregate expressions.
+def sliding(rows: DataFrame, keys: list[str], aggs: dict[str, tuple[Column, int]], ts: str = "ts", split: bool = True) -> DataFrame:
+    """``rows`` with aggregates over (ts - width, ts] of their keys: name -> (aggregate expression, width in ms).
 
-    With ``split`` rows go to their own and the next bucket of one width, so a key's windows are dealt by time.
+    With ``split`` rows go to their own and the next time bucket of the longest width, so a key's windows are dealt
+    by time; all widths share that shuffle and its sort.
     """
     if not split:
-        w = frame(keys, ts, width_ms)
-        return rows.withColumns({n: a.over(w) for n, a in aggs.items()})
-    bucket = F.floor(F.col(ts) / width_ms)
+        return rows.withColumns({n: a.over(frame(keys, ts, width)) for n, (a, width) in aggs.items()})
+    bucket = F.floor(F.col(ts) / max(width for _, width in aggs.values()))
     twice = rows.withColumn("__ahead", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("__bucket", bucket + F.col("__ahead"))
-    w = frame([*keys, "__bucket"], ts, width_ms)
-    return twice.withColumns({n: a.over(w) for n, a in aggs.items()}).where("__ahead = 0").drop("__ahead", "__bucket")
+    windows = {n: a.over(frame([*keys, "__bucket"], ts, width)) for n, (a, width) in aggs.items()}
+    return twice.withColumns(windows).where("__ahead = 0").drop("__ahead", "__bucket")
 
 
-def asof(reads: DataFrame, ledger: DataFrame, keys: list[str], values: list[str], ts: str = "ts", strict: bool = False, within_ms: int | None = None) -> DataFrame:
+def _with_reads(reads: DataFrame, ledger: DataFrame, keys: list[str], columns: dict[str, Column], ts: str) -> DataFrame:
+    """Both sides under one another: (keys, ts, __read with all of a read's columns, or the ledger's columns)."""
+    whole = F.struct(*[F.col(f"`{n}`") for n in reads.columns])
+    side = ledger.select(*keys, ts, *[c.alias(n) for n, c in columns.items()])
+    return reads.select(*keys, ts, whole.alias("__read")).unionByName(side, allowMissingColumns=True)
+
+
+def asof(reads: DataFrame, ledger: DataFrame, keys: list[str], values: list[str], ts: str = "ts", strict: bool = False, within_ms: int | None = None, split_ms: int | None = None) -> DataFrame:
     """``reads`` with the ledger's last values at or before each read's time, null if there is none.
 
     ``keys`` and ``ts`` are named alike on both sides. ``within_ms`` takes only updates younger than that. Of
-    several updates at one time the largest (by ``values`` in turn) is taken. One shuffle, no inequality join.
+    several updates at one time the largest (by ``values`` in turn) is taken. One union and a running maximum, no
+    inequality join; ``split_ms`` as in ``running``.
     """
-    names = reads.columns
-    side = ledger.select(*keys, ts, F.struct(F.col(ts).alias("at"), *values).alias("__v")).withColumn("__read", F.lit(None).cast(reads.select(F.struct(*names)).schema[0].dataType))
-    ask = reads.select(*keys, ts, F.struct(*names).alias("__read")).withColumn("__v", F.lit(None).cast(side.schema["__v"].dataType))
-    both = ask.unionByName(side)
-    found = F.max("__v").over(frame(keys, ts, strict=strict))
+    both = _with_reads(reads, ledger, keys, {"__v": F.struct(F.col(ts).alias("at"), *values)}, ts)
+    out = running(both, keys, {"__f": ("max", F.col("__v"))}, ts, strict, split_ms).where("__read is not null")
     if within_ms is not None:
-        found = F.when(found["at"] > F.col(ts) - within_ms, found)
-    out = both.withColumn("__f", found).where("__read is not null")
+        out = out.withColumn("__f", F.when(F.col("__f.at") > F.col(ts) - within_ms, F.col("__f")))
     return out.select("__read.*", *[F.col(f"__f.{v}").alias(v) for v in values], F.col("__f.at").alias("found_ts"))
 
 
-def asof_running(reads: DataFrame, ledger: DataFrame, keys: list[str], aggs: dict[str, tuple[str, str]], ts: str = "ts", strict: bool = False, width_ms: int | None = None) -> DataFrame:
-    """``reads`` with aggregates (kind, ledger column) of all ledger rows up to each read; null if there are none."""
-    names = reads.columns
+def asof_running(reads: DataFrame, ledger: DataFrame, keys: list[str], aggs: dict[str, tuple[str, str]], ts: str = "ts", strict: bool = False, width_ms: int | None = None, split_ms: int | None = None) -> DataFrame:
+    """``reads`` with aggregates (kind, ledger column) of all ledger rows up to each read; null if there are none.
+
+    Kinds: sum, count, min, max, avg and set. With a width, updates of (ts - width, ts] count, dealt by time.
+    Without one, ``split_ms`` works as in ``running`` for all kinds but sets.
+    """
     cols = sorted({c for _, c in aggs.values()})
-    side = ledger.select(*keys, ts, *[F.col(c).alias(f"__{c}") for c in cols], F.lit(1).alias("__n")).withColumn("__read", F.lit(None).cast(reads.select(F.struct(*names)).schema[0].dataType))
-    ask = reads.select(*keys, ts, F.struct(*names).alias("__read"))
-    both = ask.unionByName(side, allowMissingColumns=True)
-    w = frame(keys, ts, width_ms, strict)
+    both = _with_reads(reads, ledger, keys, {f"__{c}": F.col(c) for c in cols} | {"__n": F.lit(1)}, ts)
     kind = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "avg": F.avg, "set": F.collect_set}
-    out = both.withColumns({f"__out_{n}": kind[k](f"__{c}").over(w) for n, (k, c) in aggs.items()} | {"__seen": F.count("__n").over(w)})
+    if width_ms is not None and not strict:
+        out = sliding(both, keys, {f"__out_{n}": (kind[k](f"__{c}"), width_ms) for n, (k, c) in aggs.items()} | {"__seen": (F.count("__n"), width_ms)}, ts)
+    elif width_ms is not None or any(k == "set" for k, _ in aggs.values()):
+        w = frame(keys, ts, width_ms, strict)
+        out = both.withColumns({f"__out_{n}": kind[k](f"__{c}").over(w) for n, (k, c) in aggs.items()} | {"__seen": F.count("__n").over(w)})
+    else:
+        want = {"__seen": ("count", F.col("__n"))}
+        for n, (k, c) in aggs.items():
+            want |= {f"__sum_{n}": ("sum", F.col(f"__{c}")), f"__cnt_{n}": ("count", F.col(f"__{c}"))} if k in ("avg", "sum") else {f"__out_{n}": (k, F.col(f"__{c}"))}
+        out = running(both, keys, want, ts, strict, split_ms)
+        for n, (k, _) in aggs.items():
+            if k in ("avg", "sum"):
+                value = F.col(f"__sum_{n}") / F.col(f"__cnt_{n}") if k == "avg" else F.col(f"__sum_{n}")
+                out = out.withColumn(f"__out_{n}", F.when(F.col(f"__cnt_{n}") > 0, value))
     return out.where("__read is not null").select("__read.*", *[F.when(F.col("__seen") > 0, F.col(f"__out_{n}")).alias(n) for n in aggs])
 
 
@@ -134,9 +151,13 @@ def asof_fold(reads: DataFrame, ledger: DataFrame, keys: list[str], ops: dict[st
     return reads.join(folded, [*keys, "read_ts"], "left")
 
 
-def first_seen(rows: DataFrame, keys: list[str], ts: str = "ts", tiebreak: str = "message_id") -> Column:
-    """1 on the first row of each key, else 0: a running sum of it counts distinct keys so far."""
-    return (F.row_number().over(W.partitionBy(*keys).orderBy(ts, tiebreak)) == 1).cast("int")
+def mark_first(rows: DataFrame, keys: list[str], name: str, ts: str = "ts", id: str = "message_id") -> DataFrame:
+    """``rows`` with 1 on the first row of each key, by ts and id, else 0: its running sum counts distinct keys so far.
+
+    Firsts are found by partial aggregation and met by id, which must be unique, so a hot key is no one task's work.
+    """
+    firsts = rows.groupBy(*keys).agg(F.min(F.struct(ts, id)).alias("__first")).select(F.col(f"__first.{id}").alias(id), F.lit(1).alias(name))
+    return rows.join(firsts, id, "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
 def sliding_at_probes(rows: DataFrame, probes: list[int], aggs: list[Column], width_ms: int, groups: tuple[str, ...] = (), ts: str = "ts") -> DataFrame:

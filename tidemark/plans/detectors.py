@@ -178,24 +178,33 @@ def rule1(spark, sf_dir):
 def rule2_nonfriend_burst(spark, sf_dir):
     """Over 7 messages to others in 120 minutes, to over 5 of them; a distinct set is needed, so rows are few."""
     other = F.when(~F.col("is_friend"), F.col("recipient"))
-    w = state.sliding(flagged(spark, sf_dir), ["sender"], minutes(120), {"n": F.count(other), "who": F.collect_set(other)}, split=True)
+    w = state.sliding(flagged(spark, sf_dir), ["sender"], {"n": (F.count(other), minutes(120)), "who": (F.collect_set(other), minutes(120))})
     return w.where((F.col("n") > NONFRIENDS) & (F.size("who") > RECIPIENTS)).select("message_id")
 
 
-def _email_share(messages: DataFrame) -> DataFrame:
-    mail = F.when(contains_email(F.col("content")), 1)
-    return state.sliding(messages, ["sender"], days(30), {"e": F.count(mail), "n": F.count(F.lit(1))})
+def _recent() -> dict:
+    """The sliding counts that rules 3 and 4 look at."""
+    one, mail = F.count(F.lit(1)), F.count(F.when(contains_email(F.col("content")), 1))
+    return {"e30": (mail, days(30)), "n30": (one, days(30)), "d1": (one, days(1)), "d7": (one, days(7))}
 
 
-@query(f"{_RULES.replace('rule1 AS (SELECT message_id FROM simple),', '')} SELECT:: message_id FROM rule3")
-def rule3_email_share(spark, sf_dir):
-    return _email_share(ev.messages(spark, sf_dir)).where(F.col("e") / F.col("n") > EMAIL_SHARE).select("message_id")
+def _is_mail_heavy():
+    return F.col("e30") / F.col("n30") > EMAIL_SHARE
+
+
+def with_recent(messages: DataFrame, *names: str) -> DataFrame:
+    """Messages with some of the sliding counts of their sender, from one shuffle dealt by sender and time."""
+    return state.sliding(messages, ["sender"], {n: w for n, w in _recent().items() if n in names})
+
 
+def with_first(messages: DataFrame) -> DataFrame:
+    """Messages with the time of their sender's first message: small totals, joined by sender."""
+    return messages.join(messages.groupBy("sender").agg(F.min("ts").alias("first_ts")), "sender")
 
-def _activity(messages: DataFrame) -> DataFrame:
-    one = F.count(F.lit(1))
-    windows = {"first_ts": F.min("ts").over(state.frame(["sender"])), "d1": one.over(state.frame(["sender"], width_ms=days(1))), "d7": one.over(state.frame(["sender"], width_ms=days(7)))}
-    return messages.withColumns(windows)
+
+@query(f"{_RULES.replace('rule1 AS (SELECT message_id FROM simple),', '')} SELECT:: message_id FROM rule3")
+def rule3_email_share(spark, sf_dir):
+    return with_recent(ev.messages(spark, sf_dir), "e30", "n30").where(_is_mail_heavy()).select("message_id")
 
 
 def _rampup(documented: bool = False):
@@ -205,13 +214,13 @@ def _rampup(documented: bool = False):
 
 @query(f"{_RULES.replace('rule1 AS (SELECT message_id FROM simple),', '')} SELECT:: message_id FROM rule4")
 def rule4_ramp_up(spark, sf_dir):
-    return _activity(ev.messages(spark, sf_dir)).where(_rampup()).select("message_id")
+    return with_first(with_recent(ev.messages(spark, sf_dir), "d1", "d7")).where(_rampup()).select("message_id")
 
 
 @query("w AS (SELECT message_id, ts, min(ts) OVER (PARTITION BY sender ORDER BY ts) AS first_ts, count(*) OVER (PARTITION BY sender ORDER BY ts RANGE BETWEEN 86399999 PRECEDING AND CURRENT ROW) AS d1, count(*) OVER (PARTITION BY sender ORDER BY ts RANGE BETWEEN 604799999 PRECEDING AND CURRENT ROW) AS d7 FROM messages) SELECT:: message_id FROM w WHERE first_ts <= ts - 604800000 AND d1 / d7 > 0.2")
 def rule4_ramp_up_documented(spark, sf_dir):
     """Rule 4 as its description has it: for senders of more than seven days."""
-    return _activity(ev.messages(spark, sf_dir)).where(_rampup(True)).select("message_id")
+    return with_first(with_recent(ev.messages(spark, sf_dir), "d1", "d7")).where(_rampup(True)).select("message_id")
 
 
 def with_last_contact(messages: DataFrame) -> DataFrame:
@@ -235,8 +244,12 @@ def rule5_few_responses(spark, sf_dir):
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages with the full detector's score, 10 for each of rules 1, 3, 4 and 5: columns added to one row."""
-    m = with_responses(_activity(_email_share(counted(spark, sf_dir).withColumnRenamed("f", "f1").withColumnRenamed("nf", "nf1")).withColumnRenamed("n", "n30")))
-    fires = [is_simple_spam("f1", "nf1"), F.col("e") / F.col("n30") > EMAIL_SHARE, _rampup(), F.col("r") / F.col("n") < RESPONSE_SHARE]
+    friend = F.col("is_friend").cast("long")
+    answer = F.coalesce(F.col("last_back") > F.col("ts") - days(7), F.lit(False)).cast("long")
+    m = with_last_contact(flagged(spark, sf_dir))
+    m = state.running(m, ["sender"], {"f": ("sum", friend), "nf": ("sum", 1 - friend), "r": ("sum", answer), "first_ts": ("min", F.col("ts"))}, split_ms=SPLIT)
+    m = with_recent(m, "e30", "n30", "d1", "d7")
+    fires = [is_simple_spam(), _is_mail_heavy(), _rampup(), F.col("r") / (F.col("f") + F.col("nf")) < RESPONSE_SHARE]
     return m.withColumn("score", sum((F.when(c, SCORE).otherwise(0) for c in fires), F.lit(0)).cast("long"))
 
 
@@ -268,8 +281,7 @@ _ARRIVAL = """legacy AS (SELECT *, sum(CASE WHEN is_friend THEN 1 ELSE 0 END) OV
 def legacy_spam_report(spark, sf_dir):
     """The older detector, in order of arrival: over 5 messages to others and more than to friends."""
     friend = F.col("is_friend").cast("long")
-    w = state.frame(["sender"], ties="rows", tiebreak=("message_id",))
-    m = flagged(spark, sf_dir).withColumns({"f": F.sum(friend).over(w), "nf": F.sum(1 - friend).over(w)})
+    m = state.running(flagged(spark, sf_dir), ["sender"], {"f": ("sum", friend), "nf": ("sum", 1 - friend)}, split_ms=SPLIT, ties="rows", tiebreak=("message_id",))
     spam = F.count(F.when((F.col("nf") > 5) & (F.col("nf") > F.col("f")), 1))
     return m.groupBy("sender").agg(spam.alias("spam"), F.sum(friend).alias("friend"), F.sum(1 - friend).alias("nonfriend")).where("spam > 0")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from ..sources import events as ev
 from .detectors import flagged, with_last_contact, with_responses
 from .registry import query
 
+QUERY_BLOCK = 4096
+
 
 @query("v AS (SELECT event_id, count(*) OVER (PARTITION BY sku ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS views, count(*) OVER (ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM product_views) SELECT:: event_id, views, total, round(views / total, 6) AS popularity FROM v")
 def popularity(spark, sf_dir):
@@ -24,7 +28,7 @@ def popularity(spark, sf_dir):
 def popularity_at_updates(spark, sf_dir):
     """At each update of a product: its views so far, read from the other stream."""
     views = ev.product_views(spark, sf_dir).select("sku", "ts", F.lit(1).alias("one"))
-    read = state.asof_running(ev.product_updates(spark, sf_dir), views, ["sku"], {"views": ("count", "one")})
+    read = state.asof_running(ev.product_updates(spark, sf_dir), views, ["sku"], {"views": ("count", "one")}, split_ms=days(7))
     return read.select("event_id", F.coalesce("views", F.lit(0)).alias("views"))
 
 
@@ -67,14 +71,13 @@ def conversations_initiated(spark, sf_dir):
 
 @query("SELECT:: message_id, row_number() OVER (PARTITION BY sender, sender_ip ORDER BY ts, message_id) = 1 AS new_address FROM messages")
 def new_address(spark, sf_dir):
-    m = ev.messages(spark, sf_dir)
-    return m.select("message_id", (state.first_seen(m, ["sender", "sender_ip"]) == 1).alias("new_address"))
+    m = state.mark_first(ev.messages(spark, sf_dir), ["sender", "sender_ip"], "new")
+    return m.select("message_id", (F.col("new") == 1).alias("new_address"))
 
 
 @query("r AS (SELECT *, row_number() OVER (PARTITION BY sender, recipient ORDER BY ts, message_id) AS k FROM messages) SELECT:: message_id, CAST(sum(CASE WHEN k = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY sender ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS recipients FROM r")
 def distinct_recipients_so_far(spark, sf_dir):
-    m = ev.messages(spark, sf_dir)
-    m = m.withColumn("new", state.first_seen(m, ["sender", "recipient"]))
+    m = state.mark_first(ev.messages(spark, sf_dir), ["sender", "recipient"], "new")
     return state.running(m, ["sender"], {"recipients": ("sum", F.col("new"))}, split_ms=days(7)).select("message_id", "recipients")
 
 
@@ -85,16 +88,20 @@ def messages_to_friends(spark, sf_dir):
 
 @query("q AS (SELECT vec_id AS q, embedding AS e FROM embeddings WHERE vec_id % 50 = 0) SELECT:: q.q AS query_id, d.vec_id, round(CAST(list_cosine_similarity(CAST(q.e AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])) AS DOUBLE), 6) AS cos FROM q JOIN embeddings d ON d.vec_id <> q.q WHERE list_cosine_similarity(CAST(q.e AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])) > 0.9")
 def embeddings_cosine(spark, sf_dir):
-    """Vectors with a cosine over 0.9 to a query vector (ids divisible by 50), the query set against all rows.
+    """Vectors with a cosine over 0.9 to a query vector (ids divisible by 50): the query set, in blocks, against all.
 
-    Whether the queries are broadcast is left to Spark's size threshold.
+    A block has about ``QUERY_BLOCK`` vectors, which bounds what is broadcast at once.
     """
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
-    e = e.withColumn("norm", norm("e"))
+    e = e.withColumn("norm", F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x)))
     asked = e.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"), F.col("norm").alias("q_norm"))
     dot = F.aggregate(F.zip_with("q", "e", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    pairs = e.join(asked, F.col("vec_id") != F.col("query_id")).withColumn("cos", dot / (F.col("norm") * F.col("q_norm")))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    parts = []
+    for i in range(blocks):
+        block = F.broadcast(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i))
+        parts.append(e.join(block, F.col("vec_id") != F.col("query_id")).withColumn("cos", dot / (F.col("norm") * F.col("q_norm"))))
+    pairs = reduce(lambda a, b: a.unionByName(b), parts)
     return pairs.where("cos > 0.9").select("query_id", "vec_id", F.round("cos", 6).alias("cos"))
 
 

@@ -48,4 +48,4 @@ def word_tumbling_counts(spark, sf_dir):
 def word_sliding_per_message(spark, sf_dir):
     """Counts of each word over the trailing 30 seconds at each message; windows are dealt by time, so no word is hot."""
     rows = ev.messages(spark, sf_dir).select("message_id", "ts", F.explode(split_words(F.col("content"))).alias("word"))
-    return state.sliding(rows, ["word"], WINDOW_MS, {"cnt": F.count(F.lit(1))}, split=True).select("message_id", "word", "cnt")
+    return state.sliding(rows, ["word"], {"cnt": (F.count(F.lit(1)), WINDOW_MS)}).select("message_id", "word", "cnt")
