@@ -53,8 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids and their digests for every row."""
-    tokenizer = bpe.public_tokenizer(spark)
-    return docs.select("doc_id", "lang", "source", tokenizer.digest(F.col("text"), with_ids=True).alias("d")).select("doc_id", "lang", "source", "d.*")
+    return bpe.round_trip(docs, bpe.public_tokenizer(spark), ("doc_id", "lang", "source"), with_ids=True)
 
 
 STAGES = [
