@@ -14,6 +14,7 @@ import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,8 @@ from . import common
 
 #: Pre-tokens remembered by one worker; beyond it the memory starts anew, which changes no result.
 CACHE_ENTRIES = 300_000
+#: Documents whose results leave a task together.
+AT_ONCE = 256
 _BYTE_CHARS = "".join(chr(0x100 + b) for b in range(256))
 
 
@@ -132,7 +135,7 @@ def _codec(key: str, model, pattern: str) -> Codec:
 
 
 class Tokenizer:
-    """Spark columns over a vocabulary: ``encode``, ``decode`` and ``digest``.
+    """Spark columns over a vocabulary: ``encode`` and ``decode``.
 
     Null texts count as empty; an empty text has no ids; ids outside the vocabulary are an error on decoding. The
     model (about a megabyte) is built on the driver and broadcast.
@@ -163,22 +166,6 @@ class Tokenizer:
 
         return F.pandas_udf(decode, "binary").asNondeterministic()(ids)
 
-    def digest(self, text: Column, with_ids: bool = False) -> Column:
-        """struct<n_tokens, ids_sha256, decoded_sha256[, ids]> of encoding a text and decoding its ids again."""
-        key, model, pattern = self.key, self.model, self.pattern
-        kind = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-        if with_ids:
-            kind.add("ids", T.ArrayType(T.IntegerType()))
-
-        def digest(texts: pd.Series) -> pd.DataFrame:
-            codec, rows = _codec(key, model, pattern), []
-            for t in texts:
-                ids, digits = codec.encode(t or "")
-                rows.append((len(ids), hashlib.sha256(digits.encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest(), *([ids.astype(np.int32)] if with_ids else ())))
-            return pd.DataFrame(rows, columns=kind.names)
-
-        return F.pandas_udf(digest, kind).asNondeterministic()(text)
-
 
 def public_tokenizer(spark: SparkSession, name: str = "byte_bpe_50k.tiktoken") -> Tokenizer:
     import public_tokenizers
@@ -186,9 +173,30 @@ def public_tokenizer(spark: SparkSession, name: str = "byte_bpe_50k.tiktoken") -
     return Tokenizer(spark, public_tokenizers.path(name), public_tokenizers.PATTERN)
 
 
-def round_trip(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256. One pass, no shuffle; rows may repeat."""
-    return docs.select("doc_id", tokenizer.digest(F.col("text")).alias("d")).select("doc_id", "d.*")
+def round_trip(docs: DataFrame, tokenizer: Tokenizer, carry: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
+    """One row per document: columns to carry, n_tokens, ids_sha256, decoded_sha256[, ids array<int>].
+
+    Texts are encoded, and the ids decoded again; null texts count as empty. One pass, no shuffle; rows may repeat.
+    Results leave in small batches, so a task holds one batch of texts and little more.
+    """
+    key, model, pattern = tokenizer.key, tokenizer.model, tokenizer.pattern
+    names = [*carry, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
+
+    def run(batches):
+        codec = _codec(key, model, pattern)
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part, rows = batch.slice(at, AT_ONCE), []
+                for text in part.column(len(carry)).to_pylist():
+                    ids, digits = codec.encode(text or "")
+                    rows.append((len(ids), hashlib.sha256(digits.encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest(), *([ids.view(np.int32)] if with_ids else ())))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(carry)], *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names)
+
+    schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    if with_ids:
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
+    return docs.select(*carry, "text").mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
