@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import durations, text
 from tidemark.operators import causal, stats
 from tidemark.plans import QUERIES
-from tidemark.sources import files, generators
+from tidemark.sources import events, files, generate, generators
 
 # Strings and whether they hold an e-mail address.
 EMAILS = [("", False), ("foo@example.com", True), ("hi foo@example.com there", True), ("a.b+c@x.y.org", True), ("foo_bar@sub.example.co.uk!", True), ("say hi to w1@email.com ", True), ("not an @ address", False)]
@@ -60,6 +60,22 @@ def test_generators(spark):
     assert zipf.where("ip != user_a % 20").count() == 0
 
 
+def test_generator_command(spark, tmp_path):
+    generate.main(["tunable", "50", "300", f"{tmp_path}/t", "--splits", "2", "--by-key", "--alpha", "1.8"])
+    generate.main(["uniform", "50", "300", f"{tmp_path}/u", "--splits", "3"])
+    assert files.read_events(spark, f"{tmp_path}/u").count() == 300
+    assert {r.kind for r in files.read_events(spark, f"{tmp_path}/t").select("kind").distinct().collect()} == {"message", "friendship"}
+
+
+def test_times_do_not_depend_on_the_session_zone(spark):
+    day = events.raw_events(spark, "/root/testdata/sf0.001").agg(F.min("ts")).first()[0]
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert events.raw_events(spark, "/root/testdata/sf0.001").agg(F.min("ts")).first()[0] == day >= events.FIRST_PROBE
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_powerlaw_fits(spark):
     counts = spark.createDataFrame([(i, 10_000 // (i + 1)) for i in range(2000)], "user long, n long")
     fit = stats.powerlaw_slope(counts, 2000).first()

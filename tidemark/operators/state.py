@@ -171,20 +171,22 @@ def sliding_at_probes(rows: DataFrame, probes: list[int], aggs: list[Column], wi
     return seen.groupBy("probe_ts", *groups).agg(*aggs)
 
 
-def running_at_probes(rows: DataFrame, probes: list[int], sums: dict[str, Column], groups: tuple[str, ...] = (), ts: str = "ts") -> DataFrame:
-    """Running sums at each of some times: (probe_ts, groups, sums), 0 before the first row of a group.
+def running_at_probes(rows: DataFrame, probes: list[int], values: dict[str, Column], groups: tuple[str, ...] = (), ts: str = "ts", fold: str = "sum") -> DataFrame:
+    """Running sums (or minima or maxima) at each of some times: (probe_ts, groups, values).
 
-    Rows are added up by the first probe that sees them (partial sums in each task), then along the probes.
+    Rows are folded by the first probe that sees them (in part in each task), then along the probes. Before the
+    first row of a group sums are 0 and others null.
     """
     times = F.array(*[F.lit(p).cast("long") for p in sorted(probes)])
     slot = F.get(F.filter(times, lambda p: p >= F.col(ts)), 0)
     spark = rows.sparkSession
-    totals = rows.withColumn("probe_ts", slot).where("probe_ts is not null").groupBy("probe_ts", *groups).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    totals = rows.withColumn("probe_ts", slot).where("probe_ts is not null").groupBy("probe_ts", *groups).agg(*[_AGG[fold](c).alias(n) for n, c in values.items()])
     table = spark.createDataFrame([(p,) for p in sorted(probes)], "probe_ts long")
     frame_of = table if not groups else table.crossJoin(totals.select(*groups).distinct())  # a few probes for each group
     dense = frame_of.join(totals, ["probe_ts", *groups], "left")
     w = W.partitionBy(*groups).orderBy("probe_ts").rowsBetween(W.unboundedPreceding, 0)
-    return dense.select("probe_ts", *groups, *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(n) for n in sums])
+    folded = {n: _AGG[fold](n).over(w) for n in values}
+    return dense.select("probe_ts", *groups, *[(F.coalesce(c, F.lit(0)) if fold == "sum" else c).alias(n) for n, c in folded.items()])
 
 
 def running_total(rows: DataFrame, aggs: dict[str, tuple[str, Column]], bucket_ms: int, ts: str = "ts", strict: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 MESSAGE_TYPES = ("click", "error", "purchase")
 PROBE_DAYS = 30
@@ -15,8 +16,15 @@ FIRST_PROBE = 1704067200000  # 2024-01-01 00:00 UTC
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    ts = F.unix_millis(F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())) if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC") else F.unix_millis(F.col("ts").cast("timestamp"))
+    return shape(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def shape(events: DataFrame) -> DataFrame:
+    """The event table or stream as ts, event_id, user_id, event_type, value, k."""
+    if isinstance(events.schema["ts"].dataType, TimestampType):
+        ts = F.unix_millis("ts")
+    else:  # a time without a zone counts as UTC, whatever the session's zone is
+        ts = F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
     return events.select(ts.alias("ts"), "event_id", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
