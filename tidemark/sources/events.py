@@ -21,10 +21,11 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shape(events: DataFrame) -> DataFrame:
     """The event table or stream as ts, event_id, user_id, event_type, value, k."""
-    if isinstance(events.schema["ts"].dataType, TimestampType):
-        ts = F.unix_millis("ts")
+    zone = events.sparkSession.conf.get("spark.sql.session.timeZone")
+    if isinstance(events.schema["ts"].dataType, TimestampType) or zone in ("UTC", "Etc/UTC", "Z", "+00:00"):
+        ts = F.unix_millis(F.col("ts").cast("timestamp"))
     else:  # a time without a zone counts as UTC, whatever the session's zone is
-        ts = F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+        ts = F.expr("cast(floor(cast(cast(ts - timestamp_ntz'1970-01-01 00:00:00' as interval second) as decimal(20, 6)) * 1000) as bigint)")
     return events.select(ts.alias("ts"), "event_id", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
