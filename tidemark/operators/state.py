@@ -179,10 +179,11 @@ def running_at_probes(rows: DataFrame, probes: list[int], values: dict[str, Colu
     """
     times = F.array(*[F.lit(p).cast("long") for p in sorted(probes)])
     slot = F.get(F.filter(times, lambda p: p >= F.col(ts)), 0)
-    spark = rows.sparkSession
     totals = rows.withColumn("probe_ts", slot).where("probe_ts is not null").groupBy("probe_ts", *groups).agg(*[_AGG[fold](c).alias(n) for n, c in values.items()])
-    table = spark.createDataFrame([(p,) for p in sorted(probes)], "probe_ts long")
-    frame_of = table if not groups else table.crossJoin(totals.select(*groups).distinct())  # a few probes for each group
+    if groups:
+        frame_of = totals.select(*groups).distinct().withColumn("probe_ts", F.explode(times))
+    else:
+        frame_of = rows.sparkSession.createDataFrame([(p,) for p in sorted(probes)], "probe_ts long")
     dense = frame_of.join(totals, ["probe_ts", *groups], "left")
     w = W.partitionBy(*groups).orderBy("probe_ts").rowsBetween(W.unboundedPreceding, 0)
     folded = {n: _AGG[fold](n).over(w) for n in values}

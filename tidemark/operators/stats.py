@@ -34,10 +34,10 @@ def powerlaw_slope(counts: DataFrame, users: int) -> DataFrame:
     spark = counts.sparkSession
     shape = histogram(counts)
     above = F.sum("users").over(W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, 0))  # distinct counts only
-    ranked = shape.select("n", above.alias("upto"), (above - F.col("users")).alias("past"))
-    total = counts.agg(F.sum("n").alias("total"))
+    total = F.sum(F.col("n") * F.col("users")).over(W.partitionBy())
+    ranked = shape.select("n", above.alias("upto"), (above - F.col("users")).alias("past"), total.alias("total"))
     ranks = F.broadcast(spark.createDataFrame([(r,) for r in sampled_ranks(users)], "rank long"))
-    points = ranked.join(ranks, (F.col("rank") > F.col("past")) & (F.col("rank") <= F.col("upto"))).crossJoin(total)
+    points = ranked.join(ranks, (F.col("rank") > F.col("past")) & (F.col("rank") <= F.col("upto")))
     slope = F.regr_slope(F.log(F.col("n") / F.col("total")), F.log(F.col("rank").cast("double")))
     return points.agg((-slope).alias("zipf"), (1 + 1 / (-slope)).alias("alpha"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions.durations import days
@@ -55,7 +57,8 @@ def event_stats(spark, sf_dir):
     users = m.select(F.explode(F.array("sender", "recipient")).alias("u")).agg(F.countDistinct("u").alias("users"))
     rows = ev.raw_events(spark, sf_dir).agg(F.count(F.lit(1)).alias("events"))
     pairs, sent = friends(spark, sf_dir).agg(F.count(F.lit(1)).alias("friendships")), m.agg(F.count(F.lit(1)).alias("messages"))
-    return rows.crossJoin(users).crossJoin(pairs).crossJoin(sent)
+    parts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [rows, users, pairs, sent])
+    return parts.agg(*[F.max(n).alias(n) for n in ("events", "users", "friendships", "messages")])
 
 
 @query("r AS (SELECT event_id % 4 AS part, ts, row_number() OVER (PARTITION BY event_id % 4 ORDER BY ts, event_id) AS k FROM raw_events), s AS (SELECT part, min(ts) AS a, max(ts) AS b FROM r WHERE k <= 1000 GROUP BY part) SELECT:: min(a) AS start_ts, CAST(sum(b - a) // count(*) AS DOUBLE) / 1000 AS interval_ms FROM s")
