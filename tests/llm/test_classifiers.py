@@ -153,3 +153,12 @@ def test_empty_tables(spark):
     assert [r.lang_pred for r in langid.languages(some, langid.learn(some)).collect()] == ["und", "und"]
     assert [r.score for r in quality.quality(some, quality.learn(some, labels)).collect()] == [0.5, 0.5]
     assert [r.predicted for r in toxicity.toxicity(some, toxicity.learn(some, labels)).collect()] == [0, 0]
+
+
+def test_repeated_rows_do_not_swell_the_sample(spark):
+    from tidemark.llm import common
+
+    docs = spark.createDataFrame([(1, "a")] * 50 + [(1, "b"), (2, None), (3, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 0), (3, None)], "doc_id long, toxic int")
+    rows = common.labelled_sample(docs, labels, "toxic", labels.doc_id > 0, 10).collect()
+    assert sorted((r.doc_id, r.y) for r in rows) == [(1, 1), (2, 0)]

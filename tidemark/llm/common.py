@@ -56,11 +56,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
 
     ``keep`` is the condition on doc_id that lets a row be learned from. Null ids, null labels and labels other
     than 0 and 1 are left out. Ids are chosen by a seeded hash before any text is read, so only the id columns are
-    sorted; ids that occur twice among the labels, or with both labels, count once with the larger label.
+    sorted; ids that occur twice among the labels, or with both labels, count once with the larger label, and of
+    several documents of one id the one whose text has the smallest hash is taken.
     """
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & keep).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     ids = ids.orderBy(F.xxhash64(F.col("doc_id"), F.lit(seed)), "doc_id").limit(limit)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return one_text_each(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"))
+
+
+def one_text_each(rows: DataFrame) -> DataFrame:
+    """(doc_id, text, y) with one row for each doc_id and y; repeated ones are put together before they are moved."""
+    return rows.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "y")
 
 
 def on_executors(path: str):

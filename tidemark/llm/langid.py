@@ -262,7 +262,7 @@ def learn(docs: DataFrame) -> Network | None:
                 rows += [(y, text[p * WINDOW : (p + 1) * WINDOW]) for p in places]
             yield pd.DataFrame(rows, columns=["y", "w"])
 
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y").mapInPandas(cut, "y string, w binary")
+    sample = common.one_text_each(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")).select("text", "y").mapInPandas(cut, "y string, w binary")
     rows = sorted((r.y, bytes(r.w)) for r in sample.collect())
     return train([w for _, w in rows], [y for y, _ in rows]) if rows else None
 
