@@ -304,7 +304,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
         yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64())]))
 
     encoded = docs.mapInArrow(encode, "shard int, key long, ids binary")
-    dealt = encoded.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_first("key"), "ids")
+    dealt = encoded.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_first("key"), "ids")
     manifest = dealt.mapInArrow(write, "shard int, n_docs long, n_ids long, first_key long, last_key long").collect()
     return sorted((r.asDict() for r in manifest), key=lambda r: r["shard"])
 
@@ -344,7 +344,7 @@ def read_token_files(spark: SparkSession, path: str, manifest: list[dict]) -> Da
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*got)], names)
 
     shards = spark.createDataFrame(rows, "shard int, base long")
-    return shards.repartition(max(1, len(rows)), "shard").mapInArrow(read, ", ".join(f"{c} long" for c in names))
+    return shards.repartitionById(max(1, len(rows)), "shard").mapInArrow(read, ", ".join(f"{c} long" for c in names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
