@@ -26,7 +26,7 @@ from . import common
 
 RADIUS = 3
 #: Variants in a bucket, about, and fingerprints whose variants are made at once; neither changes a result.
-BUCKET_VARIANTS, AT_ONCE = 1_000_000, 4096
+BUCKET_VARIANTS, AT_ONCE = 1_000_000, 2048
 _ONE = np.uint64(1)
 _SINGLE = [0] + [1 << i for i in range(64)]
 _PAIRS = [1 << (h + i) | 1 << (h + j) for h in (0, 32) for i in range(32) for j in range(i)]

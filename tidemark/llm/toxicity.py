@@ -29,6 +29,8 @@ TRAIN_ROWS = 20_000
 #: Entries and exceptions that are kept, at most, by strength.
 MOST_ENTRIES, MOST_EXCEPTIONS = 3_000, 3_000
 SHORTEST, LONGEST, LEAST_DOCS = 3, 8, 4
+#: Candidates that a task counts before it passes its counts on.
+MOST_SEEN = 120_000
 #: An entry's log odds and its log-likelihood ratio against chance are at least these.
 LEAST_ODDS, LEAST_RATIO = 1.5, 25.0
 PREDICT_AT = 0.3
@@ -118,7 +120,7 @@ def _count(sample: DataFrame, candidates) -> DataFrame:
             for text, y in zip(batch["text"], batch["y"]):
                 for c in candidates(fold(text)):
                     seen[c][y] += 1
-                if len(seen) > 400_000:
+                if len(seen) > MOST_SEEN:
                     yield out()
                     seen.clear()
         yield out()
