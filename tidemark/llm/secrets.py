@@ -25,8 +25,10 @@ KINDS = ("assign", "access", "hex", "pem", "der", "sshkey", "jwt")
 _ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # greedy: the runs of [0-9a-f]+ that are long enough
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s]*)-----END \1-----")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{40,}+={0,2}")
+_BREAK = re.compile(r"\s+|\\+[nr]")  # line ends of a PEM body, or as strings of JSON and configurations write them
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s]*(?:\\+[nr][A-Za-z0-9+/=\s]*)*)-----END \1-----")
+# A run may follow "=" (name=value); a letter n, r or t after a backslash is no part of it (no key begins with one).
+_RUN = re.compile(r"(?:(?<![A-Za-z0-9+/_-])(?!(?<=\\)[nrt])|(?<=\\[nrt]))[A-Za-z0-9+/_-]{40,}+={0,2}")
 _HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 _SSH = b"openssh-key-v1\0"
@@ -117,7 +119,7 @@ def structural_spans(text: str) -> list[tuple[int, int, str]]:
     found, blocks = [], []
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            if kind := _kind_of(_decoded("".join(m[2].split())), "pem"):
+            if kind := _kind_of(_decoded(_BREAK.sub("", m[2])), "pem"):
                 found.append((m.start(), m.end(), kind))
                 blocks.append((m.start(), m.end()))
     if "eyJ" in text:
