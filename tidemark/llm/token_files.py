@@ -1,14 +1,19 @@
 """Token ids in raw binary shards with a minimal perfect hash from document keys to their place.
 
-A folder holds ``shard-00000.ids`` (the ids, little-endian, two or four bytes each, documents in ascending key
-order) and ``shard-00000.idx``: row offsets, keys, and a minimal perfect hash over the shard's distinct keys whose
-slots keep a 32-bit fingerprint and the key's first row. A key is found by its shard's key range, one hash probe,
-one fingerprint comparison and one read. Null keys come first, in file order only; rows of equal key are adjacent
-and are found together.
+A folder holds pairs of files: ``.ids`` (the ids, little-endian, two or four bytes each, documents in ascending key
+order) and ``.idx``: row offsets, keys, and a minimal perfect hash over the shard's distinct keys whose slots keep a
+32-bit fingerprint and the key's first row. A key is found by its shard's key range, one hash probe, one fingerprint
+comparison and one read. Null keys come first, in file order only; rows of equal key are adjacent, in the order of
+their ids, and are found together, over shards too.
+
+Documents are dealt to tasks by ranges of (key, hash of the text), and a task cuts what it gets, in order, into
+shards of bounded documents and bytes. Every attempt of a task writes under names of its own; ``manifest.json``, which
+is written last, names the files that count, so repeated and speculative attempts never touch a finished file.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import json
 import os
@@ -23,10 +28,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Words remembered by one worker; beyond it the memory starts anew, which changes no result.
-CACHE_ENTRIES = 600_000
-#: Most shards of one set; a larger input gets larger shards.
-MOST_SHARDS = 20_000
+#: Words remembered by one worker, and the longest of them; beyond it the memory starts anew, which changes no result.
+CACHE_ENTRIES, CACHE_BYTES = 600_000, 64
+#: Documents dealt to one task, about, and most tasks; a task cuts its documents into as many shards as they need.
+RANGE_DOCS, MOST_RANGES = 8192, 20_000
+#: Id bytes of a shard, about.
+SHARD_BYTES = 64 << 20
 _READ = 8 << 20
 #: ASCII signs that can follow a word; not the apostrophe, which may stay with it.
 _SIGNS = rb"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""
@@ -89,17 +96,19 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
 
 
 class ShardWriter:
-    """Streams documents, in ascending key order, into one shard; ``close`` renames it into place."""
+    """Streams documents, in ascending key order, into one shard under names of this attempt."""
 
-    def __init__(self, fs, folder: str, shard: int, dtype: str):
-        self.fs, self.shard, self.dtype = fs, shard, np.dtype(dtype)
-        self.name, self.tag = f"{folder}/shard-{shard:05d}", uuid.uuid4().hex
-        self.out = fs.open_output_stream(f"{self.name}.{self.tag}.tmp")
+    def __init__(self, fs, folder: str, part: int, number: int, dtype: str):
+        self.fs, self.part, self.number, self.dtype = fs, part, number, np.dtype(dtype)
+        self.name = f"shard-{part:05d}-{number:05d}-{uuid.uuid4().hex}"
+        self.path, self.size = f"{folder}/{self.name}", 0
+        self.out = fs.open_output_stream(f"{self.path}.ids")
         self.keys: list[int | None] = []
         self.lengths: list[int] = []
 
     def add(self, key: int | None, ids: bytes) -> None:
         self.out.write(ids)
+        self.size += len(ids)
         self.keys.append(key)
         self.lengths.append(len(ids) // self.dtype.itemsize)
 
@@ -115,23 +124,18 @@ class ShardWriter:
         prints[slots], rows[slots] = fingerprints(distinct), first + nulls
         arrays = [starts, keys.astype("<i8"), prints, rows, *(w.astype("<u8") for w in hashed.levels)]
         head = json.dumps({"dtype": self.dtype.str, "nulls": nulls, "arrays": [[a.dtype.str, len(a)] for a in arrays]}).encode()
-        with self.fs.open_output_stream(f"{self.name}.{self.tag}.idx.tmp") as f:
+        with self.fs.open_output_stream(f"{self.path}.idx") as f:
             f.write(len(head).to_bytes(8, "little") + head)
             for a in arrays:
                 f.write(a.tobytes())
-        for end in ("", ".idx"):
-            final = f"{self.name}{end or '.ids'}"
-            if self.fs.get_file_info(final).type.name != "NotFound":  # an earlier attempt of this task left the same bytes
-                self.fs.delete_file(final)
-            self.fs.move(f"{self.name}.{self.tag}{end}.tmp", final)
-        return {"shard": self.shard, "n_docs": len(self.keys), "n_ids": int(starts[-1]), "first_key": int(keys[0]) if len(keys) else None, "last_key": int(keys[-1]) if len(keys) else None}
+        return {"part": self.part, "number": self.number, "name": self.name, "n_docs": len(self.keys), "n_ids": int(starts[-1]), "first_key": int(keys[0]) if len(keys) else None, "last_key": int(keys[-1]) if len(keys) else None}
 
 
 class Shard:
     """One shard opened for keyed reads."""
 
-    def __init__(self, fs, folder: str, shard: int):
-        name = f"{folder}/shard-{shard:05d}"
+    def __init__(self, fs, folder: str, name: str):
+        name = f"{folder}/{name}"
         with fs.open_input_stream(f"{name}.idx") as f:
             raw = f.read()
         n = int.from_bytes(raw[:8], "little")
@@ -194,11 +198,13 @@ class Shard:
 class WordCodec:
     """A tokenizers encoder that may encode white-space separated words one by one and remember them.
 
-    ``by_word`` is right for tokenizers whose normaliser lower-cases and never joins characters across white space,
-    and whose pre-tokens are runs of letters, or runs of signs, without white space, mapped character by character;
-    otherwise whole texts are encoded. A new word goes to the library's model directly if it is all letters (which
-    characters are, and what each is mapped to, is asked of the library's pre-tokeniser once a character), else
-    through its normaliser, pre-tokeniser and model in turn. Signs after a word are a word of their own.
+    Ids are the library's own for ``encode(text, add_special_tokens=False)``: a text that holds the string of an added
+    token is encoded whole. ``by_word`` is right for tokenizers whose normaliser never joins characters across white
+    space and maps words of ASCII alone as it maps them in lower case, and whose pre-tokens are runs of letters, or
+    runs of signs, without white space, mapped character by character; otherwise whole texts are encoded. A new word
+    goes to the library's model directly if it is all letters (which characters are, and what each is mapped to, is
+    asked of the library's pre-tokeniser once a character), else through its normaliser, pre-tokeniser and model in
+    turn. Signs after a word are a word of their own.
     """
 
     def __init__(self, spec: str, dtype: str, by_word: bool):
@@ -206,11 +212,12 @@ class WordCodec:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(spec)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.dtype, self.by_word = dtype, by_word
+        added = json.loads(spec).get("added_tokens") or []
+        self.added = [t["content"].encode() for t in added]
+        self.dtype, self.by_word = dtype, by_word and not any(t.get("normalized") for t in added)
         self.known: dict[bytes, bytes] = {}
         self.letters: dict[str, str | None] = {}
-        if by_word:
+        if self.by_word:
             self.normal, self.split, self.merge = self.model.normalizer.normalize_str, self.model.pre_tokenizer.pre_tokenize_str, self.model.model.tokenize
             a_to_z = "thequickbrownfoxjumpsoverlazydog"
             self.plain = self.normal(a_to_z) == a_to_z and [p for p, _ in self.split(a_to_z)] == [a_to_z]
@@ -222,35 +229,44 @@ class WordCodec:
             self.letters[c] = (pieces[0][1:] or None) if len(pieces) == 1 and pieces[0][:1] == "a" else None
         return self.letters[c]
 
+    def _model(self, word: bytes) -> bytes:
+        """The packed ids of a word; capitals of a word with other letters are left to the normaliser's own order."""
+        if self.plain and word.isalpha():  # on bytes: a-z, as A-Z came in lower case
+            ids = [t.id for t in self.merge(word.decode())]
+        else:
+            text = self.normal(word.decode())
+            mapped = [self._letter(c) for c in text]
+            pieces = [p for p, _ in self.split(text)] if None in mapped else ["".join(mapped)]
+            ids = [t.id for p in pieces for t in self.merge(p)]
+        return struct.pack(f"<{len(ids)}{'H' if self.dtype == '<u2' else 'I'}", *ids)
+
     def _word(self, word: bytes) -> bytes:
         if (found := self.known.get(word)) is None:
-            text = word.decode()
-            if self.plain and word.isalpha():  # on bytes: A-Z and a-z
-                ids = [t.id for t in self.merge(text)]
-            else:
-                text = self.normal(text)
-                mapped = [self._letter(c) for c in text]
-                pieces = [p for p, _ in self.split(text)] if None in mapped else ["".join(mapped)]
-                ids = [t.id for p in pieces for t in self.merge(p)]
-            found = self.known[word] = struct.pack(f"<{len(ids)}{'H' if self.dtype == '<u2' else 'I'}", *ids)
+            low = word.lower() if word.isascii() else word
+            if low is word or (found := self.known.get(low)) is None:
+                found = self._model(low)
+                if len(low) <= CACHE_BYTES:
+                    self.known[low] = found
         return found
 
     def encode(self, text: bytes) -> bytes:
-        if not self.by_word:
+        if not self.by_word or any(t in text for t in self.added):
             return np.array(self.model.encode(text.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
         if len(self.known) > CACHE_ENTRIES:
             self.known = {}
-        words = text.lower().split()  # on bytes: A-Z alone, and ASCII white space alone
-        known, joined = self.known, []
+        words = (text.lower() if text.isascii() else text).split()  # on bytes: A-Z alone, and ASCII white space alone
+        known, passing = self.known, []
         for w in set(words).difference(known):
             head = w.rstrip(_SIGNS)
             if head and len(head) < len(w) and head[-1:].isalpha():
-                joined.append((w, self._word(head) + self._word(w[len(head) :])))
+                passing.append((w, self._word(head) + self._word(w[len(head) :])))
             else:
-                self._word(w)
-        known.update(joined)
+                ids = self._word(w)
+                if w not in known:  # long ones, and capitals that stand for a known word
+                    passing.append((w, ids))
+        known.update(passing)
         out = b"".join(map(known.__getitem__, words))
-        for w, _ in joined:  # made anew when they come again
+        for w, _ in passing:  # made anew when they come again
             del known[w]
         return out
 
@@ -258,21 +274,31 @@ class WordCodec:
 _codecs: dict[str, WordCodec] = {}
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, by_word: bool = False, docs_per_shard: int = 8192) -> list[dict]:
+_MANIFEST = "part int, number int, name string, n_docs long, n_ids long, first_key long, last_key long"
+
+
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, by_word: bool = False, docs_per_range: int = RANGE_DOCS, docs_per_shard: int = 1 << 16) -> list[dict]:
     """Encode ``docs`` (doc_id, text) with a tokenizers file and write shards under ``path``; returns their manifest.
 
-    Shards are ranges of doc_id cut at approximate quantiles, so reading them in order is ascending key order
-    (null keys first, equal keys ordered by their ids). ``end_id`` is appended to each document. Null texts count
-    as empty. An empty table gives no shards. The manifest has a row for each shard, ``MOST_SHARDS`` at most.
+    Reading the manifest's shards in order is ascending key order: null keys first, rows of equal key by the hash of
+    their texts and then by their ids. A key that many rows share is dealt by that hash, so it is several tasks'
+    work. ``end_id`` is appended to each document. Null and empty texts have no other ids; a text of any length is
+    encoded whole; other columns are ignored. An empty table gives no shards.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("key"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
-    total, low = docs.agg(F.count(F.lit(1)), F.min("key")).first()
+    total, nulls, low = docs.agg(F.count(F.lit(1)), F.count(F.when(F.col("key").isNull(), 1)), F.min("key")).first()
     if not total:
         return []
-    n = min(MOST_SHARDS, -(-total // docs_per_shard))
-    cuts = docs.agg(F.percentile_approx("key", [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0] if n > 1 and low is not None else []
-    bounds = np.unique(np.array(cuts or [], np.int64))
+    n = min(MOST_RANGES, -(-total // docs_per_range))
+    keyed = max(1, round(n * (total - nulls) / total))
+    cuts = docs.agg(F.percentile_approx("key", [i / keyed for i in range(1, keyed)], max(10_000, 10 * keyed))).first()[0] if keyed > 1 and low is not None else []
+    bounds, shares = np.unique(np.array(cuts or [], np.int64), return_counts=True)
+    null_shares = max(1, n - keyed)
+    # A range ends with its bound; a key that is the bound of several ranges has that many of its own.
+    own = np.where(shares > 1, shares, 0)
+    firsts = np.concatenate([[0], np.cumsum(1 + own)]) + null_shares
+    parts = int(firsts[-1]) + 1
     with open(tokenizer) as f:
         spec = f.read()
     from tokenizers import Tokenizer
@@ -282,72 +308,108 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
     key = hashlib.sha256(f"{by_word}{spec}".encode()).hexdigest()
     spec, tail = spark.sparkContext.broadcast(spec), b"" if end_id is None else np.array([end_id], dtype).tobytes()
 
+    def part_of(keys: np.ndarray, hashes: np.ndarray, null: np.ndarray) -> np.ndarray:
+        """Numbers of ranges, ascending with (key, hash): null keys first, hot keys in as many ranges as they need."""
+        share, at = hashes.astype(np.float64) / 2.0**64, np.searchsorted(bounds, keys, side="left")
+        part, mine = firsts[at], np.append(own, 0)[at]
+        hot = mine > 0
+        hot[hot] = bounds[at[hot]] == keys[hot]
+        part[hot] += 1 + np.minimum((share * mine).astype(np.int64), mine - 1)[hot]
+        part[null] = np.minimum((share[null] * null_shares).astype(np.int64), null_shares - 1)
+        return part
+
     def encode(batches):
+        import xxhash
+
         if (codec := _codecs.get(key)) is None:
             codec = _codecs[key] = WordCodec(spec.value, dtype, by_word)
         for batch in batches:
-            keys = batch.column(0)
-            shard = np.searchsorted(bounds, keys.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="left")
-            yield pa.record_batch([pa.array(shard, pa.int32()), keys, pa.array([codec.encode(t.as_py()) + tail for t in batch.column(1)], pa.binary())], ["shard", "key", "ids"])
+            keys, ids, hashes = batch.column(0), [], np.zeros(batch.num_rows, np.uint64)
+            for i, text in enumerate(batch.column(1)):
+                text = text.as_py()
+                hashes[i] = xxhash.xxh64_intdigest(text)
+                ids.append(codec.encode(text) + tail)
+            null = keys.is_null().to_numpy(zero_copy_only=False)
+            part = part_of(keys.fill_null(0).to_numpy(zero_copy_only=False), hashes, null)
+            yield pa.record_batch([pa.array(part, pa.int32()), keys, pa.array((hashes ^ np.uint64(1 << 63)).view(np.int64)), pa.array(ids, pa.binary())], ["part", "key", "hash", "ids"])
 
     def write(batches):
         fs, folder = common.on_executors(path)
         fs.create_dir(folder)
         done, out = [], None
         for batch in batches:
-            for shard, key, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                if out is None or out.shard != shard:
+            for part, key, ids in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3))):
+                full = out is not None and (len(out.keys) >= docs_per_shard or out.size >= SHARD_BYTES)
+                if out is None or out.part != part or full:
                     done += [out.close()] if out else []
-                    out = ShardWriter(fs, folder, shard, dtype)
+                    out = ShardWriter(fs, folder, part, len(done), dtype)
                 out.add(key, ids)
         done += [out.close()] if out else []
-        yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64())]))
+        kinds = [pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 4]
+        names = [c.split()[0] for c in _MANIFEST.split(", ")]
+        yield pa.RecordBatch.from_pylist(done, schema=pa.schema(list(zip(names, kinds))))
+
+    encoded = docs.mapInArrow(encode, "part int, key long, hash long, ids binary")
+    dealt = encoded.repartitionById(parts, "part").sortWithinPartitions("part", F.asc_nulls_first("key"), "hash", "ids")
+    manifest = sorted((r.asDict() for r in dealt.mapInArrow(write, _MANIFEST).collect()), key=lambda r: (r["part"], r["number"]))
+    fs, folder = common.on_executors(path)
+    fs.create_dir(folder)
+    with fs.open_output_stream(f"{folder}/manifest.json") as f:
+        f.write(json.dumps(manifest).encode())
+    return manifest
 
-    encoded = docs.mapInArrow(encode, "shard int, key long, ids binary")
-    dealt = encoded.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_first("key"), "ids")
-    manifest = dealt.mapInArrow(write, "shard int, n_docs long, n_ids long, first_key long, last_key long").collect()
-    return sorted((r.asDict() for r in manifest), key=lambda r: r["shard"])
+
+def read_manifest(path: str) -> list[dict]:
+    fs, folder = common.on_executors(path)
+    with fs.open_input_stream(f"{folder}/manifest.json") as f:
+        return json.loads(f.read())
 
 
 class TokenStore:
     """Keyed access to written shards from one process."""
 
-    def __init__(self, path: str, manifest: list[dict]):
+    def __init__(self, path: str, manifest: list[dict] | None = None):
         self.fs, self.folder = common.on_executors(path)
-        self.manifest, self.open = [m for m in manifest if m["first_key"] is not None], {}
+        self.manifest = [m for m in (read_manifest(path) if manifest is None else manifest) if m["first_key"] is not None]
+        self.last, self.open = [m["last_key"] for m in self.manifest], {}
 
     def get(self, key: int) -> list[np.ndarray]:
-        import bisect
-
-        i = bisect.bisect_left([m["last_key"] for m in self.manifest], key)
-        if i == len(self.manifest) or key < self.manifest[i]["first_key"]:
-            return []
-        shard = self.manifest[i]["shard"]
-        if shard not in self.open:
-            self.open[shard] = Shard(self.fs, self.folder, shard)
-        return self.open[shard].get(key)
+        """The ids of every document of this key, from all shards that have it."""
+        out = []
+        for m in self.manifest[bisect.bisect_left(self.last, key) :]:
+            if key < m["first_key"]:
+                break
+            if m["name"] not in self.open:
+                self.open[m["name"]] = Shard(self.fs, self.folder, m["name"])
+            out += self.open[m["name"]].get(key)
+        return out
 
 
 def read_token_files(spark: SparkSession, path: str, manifest: list[dict]) -> DataFrame:
     """One row per document from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     rows, base = [], 0
-    for m in manifest:
-        rows.append((m["shard"], base))
+    for i, m in enumerate(manifest):
+        rows.append((i, m["name"], base))
         base += m["n_ids"]
     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
 
     def read(batches):
         fs, folder = common.on_executors(path)
         for batch in batches:
-            for shard, first in zip(*(c.to_pylist() for c in batch.columns)):
-                got = [(key, first + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for key, at, ids in Shard(fs, folder, shard).scan()]
+            for name, first in zip(*(batch.column(i).to_pylist() for i in (1, 2))):
+                got = [(key, first + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for key, at, ids in Shard(fs, folder, name).scan()]
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*got)], names)
 
-    shards = spark.createDataFrame(rows, "shard int, base long")
-    return shards.repartitionById(max(1, len(rows)), "shard").mapInArrow(read, ", ".join(f"{c} long" for c in names))
+    shards = spark.createDataFrame(rows, "id int, name string, base long")
+    return shards.repartitionById(max(1, min(len(rows), MOST_RANGES)), F.col("id") % max(1, min(len(rows), MOST_RANGES))).mapInArrow(read, ", ".join(f"{c} long" for c in names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``, read back from the files.
+
+    Null and empty texts have the end id alone; null ids come first; repeated ids are in turn, by their texts' hashes;
+    other columns are ignored; an empty table has no rows.
+    """
     import public_tokenizers
 
     path = common.scratch_path(spark, "token-files")
