@@ -5,22 +5,15 @@ Output and checkpoints are in the folder of ``spark.checkpoint.dir``, which all
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import events as ev
+from ..sources.files import scratch_path
 from ..streaming.replay import ExactSimpleSpam
 from .registry import query
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _raw_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table as a stream; as a pattern its path may be one file or a folder of files."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -34,7 +27,7 @@ def _run(stream: DataFrame, path: str, write, mode: str) -> None:
 @query("counted AS (SELECT *, sum(CASE WHEN is_friend THEN 1 ELSE 0 END) OVER w AS f, sum(CASE WHEN is_friend THEN 0 ELSE 1 END) OVER w AS nf FROM flagged WINDOW w AS (PARTITION BY sender ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT:: message_id FROM counted WHERE nf > 2 * f AND f + nf > 5")
 def stream_simple(spark, sf_dir):
     """The exact micro-batch detector over the whole stream."""
-    path = _folder(spark, "stream-simple")
+    path = scratch_path(spark, "stream-simple")
     target = ExactSimpleSpam(spark, f"{path}/state", lambda df, i: df.where("is_spam").select("message_id").write.mode("overwrite").parquet(f"{path}/out/batch={i}"))
     rows = ev.shape(_raw_stream(spark, sf_dir))
     kind = F.when(F.col("event_type") == "signup", "friendship").when(F.col("event_type").isin(*ev.MESSAGE_TYPES), "message")
@@ -45,7 +38,7 @@ def stream_simple(spark, sf_dir):
 @query("SELECT:: CAST(ts // 86400000 AS BIGINT) AS day, event_type, count(*) AS cnt FROM raw_events GROUP BY ALL")
 def stream_daily_counts(spark, sf_dir):
     """Counts of tumbling one-day windows, complete at the end of the stream."""
-    path = _folder(spark, "stream-days")
+    path = scratch_path(spark, "stream-days")
     counts = _raw_stream(spark, sf_dir).groupBy(F.window(F.col("ts").cast("timestamp"), "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("cnt"))
     out = counts.select(F.floor(F.unix_millis("w.start") / 86_400_000).alias("day"), "event_type", "cnt")
     _run(out, path, lambda df, i: df.write.mode("overwrite").parquet(f"{path}/out"), "complete")

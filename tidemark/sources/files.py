@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -42,3 +45,40 @@ def write_by_key(events: DataFrame, path: str, n: int, key: str, ts: str = "ts")
 def stream_events(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
     """A stream that takes up a folder's files, some at a time."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+
+_folders: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this session that driver and executors see, under ``spark.checkpoint.dir``; it is deleted with the session.
+
+    Where that setting is missing, a local master gets a temporary folder and any other an error.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if not top:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+            top = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+            spark.conf.set("spark.checkpoint.dir", top)
+            spark.sparkContext.setCheckpointDir(top)
+        folder = f"{top.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _folders[app] = folder
+    return _folders[app]
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the session's shared folder; nothing is there yet."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
