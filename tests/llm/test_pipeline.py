@@ -85,3 +85,21 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert cp.run(spark, str(tmp_path)).collect() == []
+
+
+def test_extra_columns_and_long_texts_come_through(spark, tmp_path):
+    """Columns named like the stages' own, in other cases, with dots and maps; a text of a megabyte."""
+    extra = "Toxicity string, Copy int, COPIES int, Row_Hash string, masked int, `a.b` string, `x``y` int, tags map<string,int>, fp int, root int, N string"
+    long = "long words of a text " * 50_000
+    rows = [(i, t, "en", "ab"[i % 2], len(t or ""), "keep", i, 7, "h", 8, "dot", 9, {"k": i}, 1, 2, "n") for i, t in enumerate([long, None, "", "token=abcdefghijklmnop x y", "some other words", "yet another set of words here", "more of it than before"])]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, 1, 0), (6, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+        for r in out.collect():
+            d = r.asDict()
+            assert (d["Toxicity"], d["Copy"], d["Row_Hash"], d["a.b"], d["x`y"], d["tags"]) == ("keep", d["doc_id"], "h", "dot", 9, {"k": d["doc_id"]})
+    out = {r.doc_id: r for r in cp.encode(spark, docs, str(tmp_path)).collect()}
+    assert out[0].n_tokens == len(out[0].ids) > 100_000 and cp.run(spark, str(tmp_path)).count() > 0

@@ -2,33 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import delete_path, scratch_path  # noqa: F401
+
 #: ASCII white space, as the word definition of the document tables has it.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, from ``spark.checkpoint.dir``.
-
-    Where the session has none (a local test) a temporary folder is made and set for the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` once into the shared folder and read it back: lineage ends there, whatever executors go."""
     path = scratch_path(df.sparkSession, name)
@@ -36,9 +18,23 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many "_" as it needs to differ from all columns; Spark does not tell cases apart."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever dots and back-ticks it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def row_hash(df: DataFrame) -> Column:
+    """64 bits over all columns of a row; what Spark cannot hash goes through JSON."""
+    plain = lambda f: "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()
+    return F.xxhash64(*(column(f.name) if plain(f) else F.to_json(F.struct(column(f.name))) for f in df.schema.fields))
 
 
 def split_of(doc_id: Column, parts: int) -> Column:

@@ -139,8 +139,8 @@ def links(fps: DataFrame, count: int) -> DataFrame:
     return fps.select("fp").mapInArrow(emit, "bucket long, variants binary, codes binary").groupBy("bucket").applyInArrow(gather, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(a, b): each node of the links that is not its component's smallest, with the smallest, by star rounds.
+def components(edges: DataFrame) -> tuple[DataFrame, str]:
+    """((a, b), the folder that holds them): each node of the links that is not its component's smallest, with the smallest, by star rounds.
 
     Every round is written to the shared folder and the one before it deleted; nothing but counts reaches the
     driver. Self-links and repeated links do no harm.
@@ -174,7 +174,7 @@ def components(edges: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
-    return now
+    return now, path
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -185,13 +185,15 @@ def near_duplicates(docs: DataFrame, words: int = 3, carry: tuple[str, ...] = ()
     fingerprint zero and link like any other.
     """
     prints, _ = common.materialize(docs.select("doc_id", *carry, fingerprint(F.col("text"), words).alias("fp")), "fingerprints")
-    nodes, _ = common.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    stars = components(links(nodes, nodes.count()))
+    nodes, nodes_path = common.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
+    stars, stars_path = components(links(nodes, nodes.count()))
     members = stars.select(F.col("a").alias("fp"), F.col("b").alias("root")).unionByName(stars.groupBy("b").agg(F.lit(1).alias("n")).select(F.col("b").alias("fp"), F.col("b").alias("root")))
     members = members.join(nodes, "fp")
     roots = members.groupBy("root").agg(F.min("first_id").alias("component_id"))
     owners = members.join(roots, "root").select("fp", "root", "component_id")
     classes, _ = common.materialize(nodes.join(owners, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first_id").alias("component_id")), "classes")
+    for path in (nodes_path, stars_path):
+        common.delete_path(docs.sparkSession, path)
     return prints.join(classes, "fp", "left").select("doc_id", *carry, "fp", "root", "component_id")
 
 
@@ -201,14 +203,18 @@ def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
     Null ids come last; among rows of one id the one with the smaller hash of all columns stays, and of equal rows
     one. Texts move once, to meet the hashes of the rows that stay.
     """
-    names = docs.columns
-    h = next(f"row_hash_{i}" for i in range(len(names) + 1) if f"row_hash_{i}" not in names)
-    docs = docs.withColumn(h, F.xxhash64(*(F.col(f"`{n}`") for n in names)))
-    found = near_duplicates(docs, words, (h,))
+    h = common.free_name(docs, "row_hash")
+    keyed = docs.withColumn(h, common.row_hash(docs))
+    found = near_duplicates(keyed, words, (h,))
     stay = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", h)).alias("first")).select(F.col(f"first.{h}").alias(h)).distinct()
-    return docs.join(stay, h).dropDuplicates([h]).select(*(F.col(f"`{n}`") for n in names))
+    return keyed.join(stay, h).dropDuplicates([h]).select(*(common.column(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``: doc_id, fingerprint, component_id.
+
+    Null and empty texts have fingerprint zero; whole texts of any length count; repeated ids and rows have a row each;
+    a component without any id has a null one; other columns are ignored; an empty table has no rows.
+    """
     found = near_duplicates(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
