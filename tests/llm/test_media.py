@@ -58,11 +58,64 @@ def test_member_is_read_again_after_a_failure(tmp_path):
         def seek(self, _):
             raise OSError("gone")
 
+        def close(self):
+            raise OSError("gone too")
+
     fs, _ = common.on_executors(f"file://{tmp_path}")
     body, tries, error, _ = reader.member(fs, Broken(), str(path), info.header_offset, info.compress_size, info.file_size, info.compress_type, info.CRC)
     assert (body, tries, error) == (b"payload", 2, None)
 
 
+def test_opening_is_tried_again(spark, tmp_path):
+    """A file that fails to open now and then is read whole; one that never opens is kept apart."""
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for i in range(5):
+            z.writestr(f"{i}.png", b"payload %d" % i)
+    real, _ = common.on_executors(f"file://{tmp_path}")
+
+    class Flaky:
+        opened = 0
+
+        def __init__(self, good):
+            self.good = good
+
+        def open_input_file(self, path):
+            Flaky.opened += 1
+            if not self.good(Flaky.opened):
+                raise OSError("not now")
+            return real.open_input_file(path)
+
+    reader = media.ArchiveReader({"path": f"file://{tmp_path}", "waitSeconds": "0", "onError": "keep"})
+    part = reader.partitions()[0]
+    members, tries, error = reader.directory(Flaky(lambda n: n % 3 == 0), part)
+    assert (len(members), tries, error) == (5, 3, None)
+    file = None
+    for name, offset, *sizes in members:
+        body, _, error, file = reader.member(Flaky(lambda n: n % 2 == 0), media._close(file), part.archive, offset, *sizes)
+        assert error is None and body == b"payload " + name[:1].encode()
+    assert reader.member(Flaky(lambda n: False), None, part.archive, 0, 1, 1, 0, 0)[0] is None
+    (tmp_path / "b.zip").write_bytes(b"no archive at all")
+    rows = media.read_archives(spark, f"file://{tmp_path}", onError="keep", waitSeconds=0.01, attempts=2, splitBytes=8).collect()
+    assert [r.member for r in rows if r.error] == [None] and sum(r.error is None for r in rows) == 5
+
+
+def test_features_and_digests_follow_the_stored_bytes(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["", "a" * 64, "bc" * 500, "é" * 33])], "doc_id long, text string")
+    path = common.scratch_path(spark, "test-media")
+    media.write_archives(docs, path)
+    stored = {r.member: bytes(r.media) for r in media.read_archives(spark, path).collect()}
+    for r in media.describe(media.read_archives(spark, path)).collect():
+        (body,) = [v for k, v in stored.items() if k.endswith(f"-{r.doc_id}.png")]
+        assert (r.media_bytes, r.media_sha256) == (len(body), hashlib.sha256(body).hexdigest())
+        text = docs.where(f"doc_id = {r.doc_id}").first().text.encode()
+        payload = text + b"\0" * (-len(text) % 64 or (0 if text else 64))
+        rows = [payload[i : i + 64] for i in range(0, len(payload), 64)]
+        mean, columns = sum(payload) / len(payload), [sum(x[i] for x in rows) for i in range(64)]
+        spread = (sum(b * b for b in payload) / len(payload) - mean**2) ** 0.5
+        bits = "".join("1" if c * 64 > sum(payload) else "0" for c in columns)
+        assert r.feature == f"64x{len(rows)};mean={mean:.4f};spread={spread:.4f};columns={int(bits, 2):016x}"
+
+
 def test_images_with_filters_decode():
     import struct
 

@@ -4,12 +4,16 @@ Writing: every partition of the input becomes archives of stored (not deflated)
 samples wide. Reading: the data source lists the archives of a folder and plans byte ranges over them; a partition
 opens its archive's own directory, takes the members whose headers start in its range and streams them through
 Arrow in batches of bounded bytes. A member that cannot be read or fails its checksum is read again by its offset
-on a newly opened file, without repeating any other member.
+on a newly opened file, without repeating any other member; opening, and reading the directory, are tried again alike.
+
+Every attempt of a writing task has archive names of its own, and ``manifest.json``, written last, names those that
+count; a folder without one is read whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import time
 import uuid
@@ -27,6 +31,7 @@ from . import common
 
 WIDTH = 64
 _PNG = b"\x89PNG\r\n\x1a\n"
+_MANIFEST = "manifest.json"
 _SCHEMA = "archive string, member string, header_offset long, attempts int, media binary, error string"
 _ARROW = pa.schema([("archive", pa.string()), ("member", pa.string()), ("header_offset", pa.int64()), ("attempts", pa.int32()), ("media", pa.binary()), ("error", pa.string())])
 
@@ -108,8 +113,8 @@ def features(samples: np.ndarray) -> str:
 def write_archives(docs: DataFrame, path: str, archive_bytes: int = 128 << 20) -> DataFrame:
     """Write ``docs`` (doc_id, text) as archives under ``path``; returns (archive, n_members, bytes) once all are there.
 
-    Null texts count as empty; rows may repeat, and null ids are written as ``null``. A partition's archives have
-    names of their own and are renamed into place when whole, so a task that runs again replaces what it wrote.
+    Null texts count as empty; rows may repeat, and null ids are written as ``null``; a text of any length is one
+    member; other columns are ignored; an empty table gives no archive.
     """
 
     def write(batches):
@@ -122,17 +127,13 @@ def write_archives(docs: DataFrame, path: str, archive_bytes: int = 128 << 20) -
         def close():
             zipped.close()
             out.close()
-            final = f"{folder}/part-{part:06d}-{len(done):04d}.zip"
-            if fs.get_file_info(final).type.name != "NotFound":
-                fs.delete_file(final)
-            fs.move(temporary, final)
-            done.append({"archive": final.rpartition("/")[2], "n_members": count, "bytes": size})
+            done.append({"archive": name, "n_members": count, "bytes": size})
 
         for batch in batches:
             for key, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if zipped is None:
-                    temporary = f"{folder}/.{uuid.uuid4().hex}.tmp"
-                    out = fs.open_output_stream(temporary)
+                    name = f"part-{part:06d}-{len(done):04d}-{uuid.uuid4().hex}.zip"
+                    out = fs.open_output_stream(f"{folder}/{name}")
                     zipped, size, count = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True), 0, 0
                 media = encode_image(pad(text), len(text))
                 zipped.writestr(zipfile.ZipInfo(f"{count:08d}-{'null' if key is None else key}.png"), media)
@@ -148,7 +149,10 @@ def write_archives(docs: DataFrame, path: str, archive_bytes: int = 128 << 20) -
     spark = docs.sparkSession
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
-    written = body.mapInArrow(write, "archive string, n_members long, bytes long").collect()
+    written = sorted(body.mapInArrow(write, "archive string, n_members long, bytes long").collect())
+    fs, folder = common.on_executors(path)
+    with fs.open_output_stream(f"{folder}/{_MANIFEST}") as f:
+        f.write(json.dumps([r.archive for r in written]).encode())
     return spark.createDataFrame(written, "archive string, n_members long, bytes long")
 
 
@@ -159,6 +163,18 @@ class ByteRange(InputPartition):
     end: int
 
 
+#: What a second attempt may mend.
+_FAULTS = (OSError, ValueError, zlib.error, struct.error)
+
+
+def _close(file) -> None:
+    try:
+        if file is not None:
+            file.close()
+    except _FAULTS:
+        pass
+
+
 class ArchiveReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
@@ -172,34 +188,69 @@ class ArchiveReader(DataSourceReader):
         from pyarrow.fs import FileSelector
 
         fs, folder = common.on_executors(self.path)
-        found = sorted((i.path, i.size) for i in fs.get_file_info(FileSelector(folder, allow_not_found=True)) if i.path.endswith(".zip"))
+        if fs.get_file_info(f"{folder}/{_MANIFEST}").type.name == "File":
+            with fs.open_input_stream(f"{folder}/{_MANIFEST}") as f:
+                infos = fs.get_file_info([f"{folder}/{name}" for name in json.loads(f.read())])
+        else:
+            infos = [i for i in fs.get_file_info(FileSelector(folder, allow_not_found=True)) if i.path.endswith(".zip")]
+        found = sorted((i.path, i.size) for i in infos)
         return [ByteRange(p, a, min(a + self.split, n)) for p, n in found for a in range(0, n, self.split)] or [ByteRange("", 0, 0)]
 
     def read(self, partition):
         if not partition.archive:
             return
         fs, _ = common.on_executors(self.path)
-        file = fs.open_input_file(partition.archive)
-        with zipfile.ZipFile(file) as directory:
-            members = [(i.filename, i.header_offset, i.compress_size, i.file_size, i.compress_type, i.CRC) for i in directory.infolist() if partition.start <= i.header_offset < partition.end]
-        file = fs.open_input_file(partition.archive)
-        rows, size = [], 0
-        for name, offset, *sizes in sorted(members, key=lambda m: m[1]):
-            media, tries, error, file = self.member(fs, file, partition.archive, offset, *sizes)
-            if error and not self.keep:
-                raise OSError(f"{partition.archive} at {offset}: {error}")
-            rows.append((partition.archive, name, offset, tries, media, error))
-            size += len(media or b"")
-            if size >= self.batch:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
-                rows, size = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
+        members, tries, error = self.directory(fs, partition)
+        rows, size, file = [], 0, None
+        if error:
+            if not self.keep:
+                raise OSError(f"{partition.archive}: {error}")
+            if partition.start == 0:  # once for the archive
+                rows.append((partition.archive, None, None, tries, None, error))
+        try:
+            for name, offset, *sizes in sorted(members, key=lambda m: m[1]):
+                media, tries, error, file = self.member(fs, file, partition.archive, offset, *sizes)
+                if error and not self.keep:
+                    raise OSError(f"{partition.archive} at {offset}: {error}")
+                rows.append((partition.archive, name, offset, tries, media, error))
+                size += len(media or b"")
+                if size >= self.batch:
+                    yield self.rows(rows)
+                    rows, size = [], 0
+            if rows:
+                yield self.rows(rows)
+        finally:
+            _close(file)
+
+    @staticmethod
+    def rows(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
+
+    def pause(self, attempt):
+        if attempt < self.attempts:
+            time.sleep(self.wait * 2 ** (attempt - 1))
+
+    def directory(self, fs, partition):
+        """(members whose headers start in the range, attempts used, error or None) from the archive's own directory."""
+        for attempt in range(1, self.attempts + 1):
+            file = None
+            try:
+                file = fs.open_input_file(partition.archive)
+                with zipfile.ZipFile(file) as directory:
+                    return [(i.filename, i.header_offset, i.compress_size, i.file_size, i.compress_type, i.CRC) for i in directory.infolist() if partition.start <= i.header_offset < partition.end], attempt, None
+            except (*_FAULTS, zipfile.BadZipFile, EOFError, NotImplementedError) as e:
+                error = f"{type(e).__name__}: {e}"
+                self.pause(attempt)
+            finally:
+                _close(file)
+        return [], self.attempts, error
 
     def member(self, fs, file, archive, offset, packed, unpacked, kind, crc):
-        """(bytes or None, attempts used, error or None, file to go on with) of the member at an offset."""
+        """(bytes or None, attempts used, error or None, file to go on with or None) of the member at an offset."""
         for attempt in range(1, self.attempts + 1):
             try:
+                if file is None:
+                    file = fs.open_input_file(archive)
                 file.seek(offset)
                 head = file.read(30)
                 if head[:4] != b"PK\x03\x04":
@@ -210,20 +261,18 @@ class ArchiveReader(DataSourceReader):
                 if len(body) != unpacked or zlib.crc32(body) != crc:
                     raise ValueError("checksum differs")
                 return body, attempt, None, file
-            except (OSError, ValueError, zlib.error, struct.error) as e:
-                error = f"{type(e).__name__}: {e}"
-                if attempt < self.attempts:
-                    time.sleep(self.wait * 2 ** (attempt - 1))
-                    file = fs.open_input_file(archive)
-        return None, self.attempts, error, file
+            except _FAULTS as e:
+                error, file = f"{type(e).__name__}: {e}", _close(file)
+                self.pause(attempt)
+        return None, self.attempts, error, None
 
 
 class ArchiveSource(DataSource):
     """``spark.read.format("media_archives").load(folder)``: one row per member of the folder's zip archives.
 
     Options: ``splitBytes``, ``batchBytes``, ``attempts``, ``waitSeconds``, and ``onError``: ``fail`` (default) ends
-    the task when a member cannot be read after all attempts, ``keep`` returns it with null media and its error.
-    An empty or missing folder has no rows.
+    the task when a member cannot be read after all attempts, ``keep`` returns it with null media and its error, and
+    an archive whose directory cannot be read as one such row without a member. An empty or missing folder has no rows.
     """
 
     @classmethod
@@ -261,6 +310,11 @@ def describe(members: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``, from the archives read back.
+
+    Null and empty texts are 64 bytes 0; texts of any length are one image; repeated ids and rows, and null ids, have a
+    row each, and equal texts equal values; other columns are ignored; an empty table has no rows.
+    """
     path = common.scratch_path(spark, "media")
     write_archives(common.table(spark, sf_dir, "documents"), path)
     return describe(read_archives(spark, path))
