@@ -1,14 +1,16 @@
 """Secret scanning: pattern spans, and encoded keys that are decoded and parsed before they are reported.
 
 Base kinds (``assign``, ``access``, ``hex``) are patterns with a length test. The structural kinds report only what
-parses: a PEM block or a run of base64 or hex whose bytes are a DER private key with consistent nested lengths
-(``pem``, ``der``) or an OpenSSH key (``sshkey``), and a signed token whose header and payload are JSON (``jwt``).
+parses: a PEM block, or a run of base64 (on one line or wrapped over several) or hex, whose bytes are a DER private key
+with consistent nested lengths (``pem``, ``der``) or an OpenSSH key (``sshkey``), a PEM block whose headers say that
+its whole cipher blocks are an encrypted key (``pem``), and a signed token whose header and payload are JSON (``jwt``).
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -26,9 +28,14 @@ _ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # greedy: the runs of [0-9a-f]+ that are long enough
 _BREAK = re.compile(r"\s+|\\+[nr]")  # line ends of a PEM body, or as strings of JSON and configurations write them
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s]*(?:\\+[nr][A-Za-z0-9+/=\s]*)*)-----END \1-----")
+# Possessive repeats: what is tried at a place is not tried again in another way, so a search is linear in the text.
+_HEADERS = r"(?:(?:Proc-Type|DEK-Info):[^\r\n\\]{0,200}+(?:\r?\n|\\++[nr])++)*+"
+_PEM = re.compile(rf"-----BEGIN ([A-Z0-9 ]{{0,40}}PRIVATE KEY)-----(?:\s|\\++[nr])*+({_HEADERS})([A-Za-z0-9+/=\s]*+(?:\\++[nr][A-Za-z0-9+/=\s]*+)*+)-----END \1-----")
+_LINE_END = re.compile(r"[\x20\t]*+(?:(?:\r?\n|\\++[nr])[\x20\t]*+)++")
 # A run may follow "=" (name=value); a letter n, r or t after a backslash is no part of it (no key begins with one).
-_RUN = re.compile(r"(?:(?<![A-Za-z0-9+/_-])(?!(?<=\\)[nrt])|(?<=\\[nrt]))[A-Za-z0-9+/_-]{40,}+={0,2}")
+_START = r"(?:(?<![A-Za-z0-9+/_-])(?!(?<=\\)[nrt])|(?<=\\[nrt]))"
+_RUN = re.compile(rf"{_START}[A-Za-z0-9+/_-]{{40,}}+={{0,2}}")
+_WRAPPED = re.compile(rf"{_START}[A-Za-z0-9+/_-]{{40,}}+(?:{_LINE_END.pattern}[A-Za-z0-9+/_-]++)++={{0,2}}")
 _HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 _SSH = b"openssh-key-v1\0"
@@ -115,25 +122,92 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
 
 
+def _encrypted(headers: str, body: bytes | None) -> bool:
+    """Whether headers say that a body of whole cipher blocks is an encrypted key."""
+    return bool(body) and "ENCRYPTED" in headers and "DEK-Info" in headers and len(body) >= 32 and len(body) % 8 == 0
+
+
+def _der_size(head: bytes | None) -> int:
+    """The size, header included, that a DER private key which begins with these bytes has; 0 if none begins so."""
+    if not head or len(head) < 8 or head[0] != 0x30 or head[1] < 0x20 or 0x84 < head[1]:
+        return 0
+    k = head[1] & 0x7F if head[1] & 0x80 else 0
+    if head[1] == 0x80 or head[2 + k] not in (0x02, 0x30):
+        return 0
+    return 2 + k + (int.from_bytes(head[2 : 2 + k], "big") if k else head[1])
+
+
+def _wrapped_keys(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
+    """Keys in lines of base64: each begins with a line and is as long as its own header says, an OpenSSH key as the rest."""
+    lines, at, found = [], start, []
+    for m in _LINE_END.finditer(text, start, end):
+        lines.append((at, m.start()))
+        at = m.end()
+    lines.append((at, end))
+    i = 0
+    while i < len(lines):
+        head = _decoded(text[lines[i][0] : lines[i][0] + 24])
+        n = len(lines) if head and head.startswith(_SSH) else _der_size(head)
+        if n and head.startswith(_SSH):
+            left, j = None, len(lines)
+        else:
+            left, j = -(-n * 4 // 3), i
+        parts, stop = [], lines[i][1]
+        while n and (left is None or left > 0) and (j if left is None else len(lines)) > i + len(parts):
+            a, b = lines[i + len(parts)]
+            take = b - a if left is None else min(b - a, left)
+            stop, left = a + take, None if left is None else left - take
+            parts.append(text[a : a + take])
+        if n and not left and len(parts) > 1 and (kind := _kind_of(_decoded("".join(parts)), "der")):
+            while stop < end and text[stop] == "=":
+                stop += 1
+            found.append((lines[i][0], stop, kind))
+            i += len(parts)
+        else:
+            i += 1
+    return found
+
+
+class _Blocks:
+    """Spans that are known, asked whether one of them holds another span; each question takes a search, no scan."""
+
+    def __init__(self):
+        self.spans, self.starts, self.reach = [], [], []
+
+    def add(self, spans) -> None:
+        self.spans = sorted([*self.spans, *spans])
+        self.starts, self.reach, far = [a for a, _ in self.spans], [], -1
+        for _, b in self.spans:
+            far = max(far, b)
+            self.reach.append(far)
+
+    def hold(self, a: int, b: int) -> bool:
+        i = bisect.bisect_right(self.starts, a)
+        return i > 0 and self.reach[i - 1] >= b
+
+
 def structural_spans(text: str) -> list[tuple[int, int, str]]:
-    found, blocks = [], []
+    """Spans of the structural kinds; none lies inside another that was found before it in the order of the patterns."""
+    found, blocks = [], _Blocks()
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            if kind := _kind_of(_decoded(_BREAK.sub("", m[2])), "pem"):
+            body = _decoded(_BREAK.sub("", m[3]))
+            if kind := _kind_of(body, "pem") or ("pem" if _encrypted(m[2], body) else None):
                 found.append((m.start(), m.end(), kind))
-                blocks.append((m.start(), m.end()))
     if "eyJ" in text:
         for m in _JWT.finditer(text):
             head = _object(m[1])
             if head and isinstance(head.get("alg"), str) and _object(m[2]) is not None:
                 found.append((m.start(), m.end(), "jwt"))
-                blocks.append((m.start(), m.end()))
-    inside = lambda a, b: any(x <= a and b <= y for x, y in blocks)
-    for pattern, decode in ((_HEX_RUN, bytes.fromhex), (_RUN, _decoded)):
-        for m in pattern.finditer(text):
-            if not inside(*m.span()) and (kind := _kind_of(decode(m[0]), "der")):
-                found.append((m.start(), m.end(), kind))
-                blocks.append(m.span())
+    blocks.add(s[:2] for s in found)
+    for keys in (
+        lambda: ((*m.span(), _kind_of(bytes.fromhex(m[0]), "der")) for m in _HEX_RUN.finditer(text) if not blocks.hold(*m.span())),
+        lambda: (k for m in _WRAPPED.finditer(text) for k in _wrapped_keys(text, *m.span()) if not blocks.hold(*k[:2])),
+        lambda: ((*m.span(), _kind_of(_decoded(m[0]), "der")) for m in _RUN.finditer(text) if not blocks.hold(*m.span())),
+    ):
+        more = [k for k in keys() if k[2]]
+        found += more
+        blocks.add(s[:2] for s in more)
     return found
 
 
@@ -183,9 +257,14 @@ def redact(text: Column, mask: str = "[SECRET]") -> Column:
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, counts, base_sha256 and spans, in code points. One pass, no shuffle."""
+    """One row per row of ``docs``: doc_id, counts, base_sha256 and spans, in code points. One pass, no shuffle.
+
+    Null and empty texts have no spans; whole texts of any length are searched; spans of one start come in the order of
+    their kinds; repeated rows and ids, and null ids, have a row each; other columns are ignored.
+    """
     return docs.select("doc_id", scan(F.col("text")).alias("s")).select("doc_id", "s.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``find_secrets`` over the whole of ``documents``; an empty table has no rows."""
     return find_secrets(common.table(spark, sf_dir, "documents"))
