@@ -86,6 +86,30 @@ def test_overlapping_sources(spark):
     assert abs(sum(r.taken for r in got) - 0.8 * total) < 0.02 * total
 
 
+def test_groups_of_sources_flow_apart():
+    """Flows of patterns that no source joins add up to those of the whole graph, and a large group is refused."""
+    rng = random.Random(2)
+    patterns = [((3 * g + a, 3 * g + b) if a < b else (3 * g + a,), rng.randint(0, 50)) for g in range(6) for a, b in ((0, 0), (0, 1), (1, 2), (2, 2))]
+    quotas = [rng.randint(0, 120) for _ in range(18)]
+    apart, whole = mix.joined_flows(patterns, quotas, 3), mix.min_cost_flow(patterns, quotas, 3)
+    cost = lambda flows: sum(sum(i // size for i in range(sum(f.values()))) for (_, size), f in zip(patterns, flows) if size)
+    assert sum(sum(f.values()) for f in apart) == sum(sum(f.values()) for f in whole) and cost(apart) == cost(whole)
+    with pytest.raises(ValueError):
+        mix.joined_flows([((0, i), 1) for i in range(1, mix.MOST_JOINED + 3)], [1] * (mix.MOST_JOINED + 4), 3)
+
+
+def test_quotas_are_filled_until_nothing_fits(spark):
+    """Long documents leave gaps that only many short ones fill; what is still short is told."""
+    rows = [(i, 1000, ["a"]) for i in range(20)] + [(100 + i, 7, ["a"]) for i in range(2000)] + [(9000 + i, 900, ["b"]) for i in range(12)]
+    got = mix.mix(spark.createDataFrame(rows, "key long, size long, sources array<string>")).collect()
+    for s in (0, 1):
+        mine = [r for r in got if r.pattern == [s]]
+        short = mine[0].target - sum(r.taken for r in mine)
+        assert abs(short - mine[0].lack) <= 1
+        spare = [r.size for r in mine if r.copies < 3 and r.size]
+        assert mine[0].lack <= mix.TOLERANCE * mine[0].target or all(x > mine[0].lack for x in spare)
+
+
 def test_too_many_patterns_are_refused(spark, monkeypatch):
     monkeypatch.setattr(mix, "MOST_PATTERNS", 2)
     with pytest.raises(ValueError):

@@ -4,7 +4,7 @@ Documents are aggregated by membership pattern (the set of sources that hold the
 carries tokens from each pattern, over one arc per repetition with a cost that rises from copy to copy, to the
 quotas of its sources. What each pattern sends to each source is then an interval of tokens, and documents, laid
 end to end in a seeded order, are taken once for each interval that holds them whole. What quotas still lack is
-filled with single documents that fit.
+filled with further documents that fit, round by round, until nothing more fits or next to nothing is lacking.
 """
 
 from __future__ import annotations
@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Most sources and most membership patterns that are brought to the driver; more raise an error.
-MOST_SOURCES, MOST_PATTERNS = 100_000, 100_000
+#: Most sources and most membership patterns that are brought to the driver, and most patterns that overlapping sources
+#: join into one flow; more raise an error.
+MOST_SOURCES, MOST_PATTERNS, MOST_JOINED = 100_000, 100_000, 5_000
+#: A quota counts as filled when no more than this share of it is lacking.
+TOLERANCE = 0.001
 #: Documents laid end to end by one window, about.
 BUCKET_DOCS = 256
 
@@ -115,6 +118,33 @@ def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int]
     return [{s: room[e ^ 1] for s, e in arcs.items()} for arcs in sent]
 
 
+def joined_flows(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], most: int) -> list[dict[int, int]]:
+    """``min_cost_flow`` of every group of patterns that sources join; groups do not touch, so their flows add up."""
+    root = list(range(len(quotas)))
+
+    def find(s: int) -> int:
+        while root[s] != s:
+            root[s] = root[root[s]]
+            s = root[s]
+        return s
+
+    for members, _ in patterns:
+        for s in members[1:]:
+            root[find(s)] = find(members[0])
+    groups: dict[int, list[int]] = {}
+    for p, (members, _) in enumerate(patterns):
+        groups.setdefault(find(members[0]), []).append(p)
+    sent: list[dict[int, int]] = [{}] * len(patterns)
+    for group in groups.values():
+        _bounded(group, MOST_JOINED, "patterns of overlapping sources")
+        own = sorted({s for p in group for s in patterns[p][0]})
+        at = {s: i for i, s in enumerate(own)}
+        flows = min_cost_flow([(tuple(at[s] for s in patterns[p][0]), patterns[p][1]) for p in group], [quotas[s] for s in own], most)
+        for p, flow in zip(group, flows):
+            sent[p] = {own[i]: f for i, f in flow.items()}
+    return sent
+
+
 def _bounded(rows: list, most: int, what: str) -> list:
     if len(rows) > most:
         raise ValueError(f"more than {most} {what}")
@@ -132,7 +162,7 @@ def _laid(rows: DataFrame, group: str) -> DataFrame:
     return placed.withColumn("x", within).join(before.select(group, "bucket", "base"), [group, "bucket"]).withColumn("x", F.col("x") + F.col("base")).drop("bucket", "base")
 
 
-def mix(rows: DataFrame, weights=(1, 2, 3), share: float = 1.0, most: int = 3, seed: int = 17, fills: int = 4) -> DataFrame:
+def mix(rows: DataFrame, weights=(1, 2, 3), share: float = 1.0, most: int = 3, seed: int = 17) -> DataFrame:
     """Take documents so that each source's taken tokens come near its target.
 
     ``rows``: key long, size long (null: 0), sources array<string> (null elements are a source of their own, which
@@ -140,12 +170,13 @@ def mix(rows: DataFrame, weights=(1, 2, 3), share: float = 1.0, most: int = 3, s
     ``share`` of all sizes, none above ``most`` times the size that it holds; the excess goes to the others by weight.
 
     Returns a row for each row: key, size, pattern (source numbers), copies (0 to ``most``; documents of size 0 are
-    kept once), taken (size times copies), source_size and target (of the first source of its pattern). The order
-    is seeded by key and size; equal rows are taken alike in any order, so reruns agree. An empty table gives none.
+    kept once), taken (size times copies), source_size, target and lack (the tokens that stay short of the target, where
+    no further document fits) of the first source of its pattern. The order is seeded by key and size; equal rows are
+    taken alike in any order, so reruns agree. An empty table gives none.
     """
     spark = rows.sparkSession
     rows = rows.select("key", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"), F.when(F.size(F.coalesce("sources", F.array())) > 0, F.array_sort(F.array_distinct("sources"))).otherwise(F.array(F.lit(None).cast("string"))).alias("sources"))
-    table, _ = common.materialize(rows.withColumn("h", F.xxhash64("key", "size", F.lit(seed))), "mix-rows")
+    table, table_path = common.materialize(rows.withColumn("h", F.xxhash64("key", "size", F.lit(seed))), "mix-rows")
     held = _bounded(table.groupBy("sources").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect(), MOST_PATTERNS, "membership patterns")
     names = _bounded(sorted({s for r in held for s in r.sources}, key=lambda s: (s is None, s or "")), MOST_SOURCES, "sources")
     number = {s: i for i, s in enumerate(names)}
@@ -157,7 +188,7 @@ def mix(rows: DataFrame, weights=(1, 2, 3), share: float = 1.0, most: int = 3, s
     total = round(share * sum(p[1] for p in patterns))
     targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(names))], total, most)
     quotas = [round(t) for t in targets]
-    flows = min_cost_flow([(p[0], p[1]) for p in patterns], quotas, most)
+    flows = joined_flows([(p[0], p[1]) for p in patterns], quotas, most)
 
     known = []
     for k, ((members, size, n, sources), flow) in enumerate(zip(patterns, flows)):
@@ -175,7 +206,8 @@ def mix(rows: DataFrame, weights=(1, 2, 3), share: float = 1.0, most: int = 3, s
     holds = lambda s: sum(((F.col("x") + k * F.col("p_size") >= s.a) & (F.col("x") + F.col("size") + k * F.col("p_size") <= s.b)).cast("int") for k in range(most))
     laid = laid.withColumn("given", F.transform("spans", lambda s: F.struct(s.s.alias("s"), holds(s).alias("n"))))
     laid = laid.withColumn("copies", F.when(F.col("size") == 0, 1).otherwise(F.aggregate("given", F.lit(0), lambda z, g: z + g.n)))
-    chosen, _ = common.materialize(laid.select("key", "size", "h", "p", "x", "pattern", "given", "copies", "source_size", "target"), "mix-laid")
+    chosen, path = common.materialize(laid.select("key", "size", "h", "p", "x", "pattern", "given", "copies", "source_size", "target"), "mix-laid")
+    common.delete_path(spark, table_path)
 
     taken = chosen.where("size > 0").select("size", F.explode("given").alias("g")).groupBy("g.s").agg(F.sum(F.col("size") * F.col("g.n")).alias("taken")).collect()
     lack, docs_of = [*quotas], [sum(n for members, _, n, _ in patterns if s in members) for s in range(len(names))]
@@ -183,35 +215,40 @@ def mix(rows: DataFrame, weights=(1, 2, 3), share: float = 1.0, most: int = 3, s
         lack[r.s] -= r.taken
 
     def wanting():
-        want = [(s, r, max(1, -(-docs_of[s] // BUCKET_DOCS))) for s, r in enumerate(lack) if r > 0]
+        want = [(s, r, max(1, -(-docs_of[s] // BUCKET_DOCS))) for s, r in enumerate(lack) if r > TOLERANCE * quotas[s]]
         return F.broadcast(spark.createDataFrame(want, "s int, lack long, buckets int")) if want else None
 
-    def fitting(want):
+    def fitting(want, turn):
         spare = chosen.where((F.col("copies") + F.size("pattern") <= most) & (F.col("size") > 0))
-        return spare.select("key", "size", F.xxhash64("h").alias("h"), "p", F.col("x").alias("at"), F.explode("pattern").alias("s")).join(want, "s").where("size <= lack")
+        return spare.select("key", "size", F.xxhash64("h", F.lit(turn)).alias("h"), "p", F.col("x").alias("at"), F.explode("pattern").alias("s")).join(want, "s").where("size <= lack")
 
     def add(more):
         """One copy more for each row of ``more`` (p, at)."""
         more = more.groupBy("p", "at").agg(F.count(F.lit(1)).cast("int").alias("more")).withColumnRenamed("at", "x")
         return chosen.join(more, ["p", "x"], "left").withColumn("copies", F.col("copies") + F.when(F.col("size") > 0, F.coalesce("more", F.lit(0))).otherwise(0)).drop("more")
 
-    for _ in range(2):  # a long document across an interval's end leaves room for many shorter ones
-        if not any(r > 0.001 * q for r, q in zip(lack, quotas)):
-            break
-        more, _ = common.materialize(_laid(fitting(wanting()), "s").where(F.col("x") + F.col("size") <= F.col("lack")), "mix-more")
-        for r in more.groupBy("s").agg(F.sum("size").alias("size")).collect():
-            lack[r.s] -= r["size"]
-        chosen, _ = common.materialize(add(more.select("p", "at")), "mix-laid")
-    for _ in range(fills):  # then single documents, the largest that fits
-        if (want := wanting()) is None:
+    turn = 0
+    while (want := wanting()) is not None:
+        # Documents that fit are laid end to end, which adds one at least, and the largest alone if that fills more.
+        more, more_path = common.materialize(_laid(fitting(want, turn), "s").where(F.col("x") + F.col("size") <= F.col("lack")), "mix-more")
+        added = more.groupBy("s").agg(F.sum("size").alias("sum")).collect()
+        best = {r.s: r.b for r in fitting(want, turn).groupBy("s").agg(F.max(F.struct("size", "h", "p", "at")).alias("b")).collect()}
+        if not added:
+            common.delete_path(spark, more_path)
             break
-        best = fitting(want).groupBy("s").agg(F.max(F.struct("size", "h", "p", "at")).alias("b")).collect()
-        if not best:
-            break
-        for r in best:
-            lack[r.s] -= r.b.size
-        chosen = add(F.broadcast(spark.createDataFrame([(r.b.p, r.b.at) for r in best], "p int, at long")))
-    return chosen.select("key", "size", "pattern", "copies", (F.col("size") * F.col("copies")).alias("taken"), "source_size", "target")
+        alone = [(r.s, best[r.s].p, best[r.s].at) for r in added if best[r.s].size > r["sum"]]
+        for r in added:
+            lack[r.s] -= max(r["sum"], best[r.s].size)
+        if alone:
+            single = F.broadcast(spark.createDataFrame(alone, "s int, p int, at long"))
+            more = more.join(single.select("s"), "s", "left_anti").select("p", "at").unionByName(single.select("p", "at"))
+        newer, newer_path = common.materialize(add(more.select("p", "at")), "mix-laid")
+        for old in (path, more_path):
+            common.delete_path(spark, old)
+        chosen, path, turn = newer, newer_path, turn + 1
+    short = F.broadcast(spark.createDataFrame(list(enumerate(lack)), "s int, lack long"))  # at most MOST_SOURCES rows
+    out = chosen.join(short, F.col("pattern")[0] == F.col("s"))
+    return out.select("key", "size", "pattern", "copies", (F.col("size") * F.col("copies")).alias("taken"), "source_size", "target", "lack")
 
 
 def document_sizes(docs: DataFrame, key: Column | None = None) -> DataFrame:
@@ -220,5 +257,11 @@ def document_sizes(docs: DataFrame, key: Column | None = None) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents`` with what the mix takes of it.
+
+    Null and empty texts have size 0 and are kept once, taking nothing; rows without a source are a source of their own,
+    the last; whole texts are counted; repeated ids and rows have a row each; other columns are ignored; an empty table
+    has no rows.
+    """
     mixed = mix(document_sizes(common.table(spark, sf_dir, "documents")))
-    return mixed.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
+    return mixed.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "lack")
