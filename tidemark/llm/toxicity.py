@@ -10,6 +10,7 @@ against the text's length, goes through a logistic curve that is fitted on the s
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -26,9 +27,8 @@ from . import common
 
 #: Labelled rows that are learned from, at most; chosen by a seeded hash of the id.
 TRAIN_ROWS = 20_000
-#: Entries and exceptions that are kept, at most, by strength.
-MOST_ENTRIES, MOST_EXCEPTIONS = 3_000, 3_000
-SHORTEST, LONGEST, LEAST_DOCS = 3, 8, 4
+#: The shortest word beginning that is a candidate, and the documents that a candidate needs.
+SHORTEST, LEAST_DOCS = 3, 4
 #: Candidates that a task counts before it passes its counts on.
 MOST_SEEN = 120_000
 #: An entry's log odds and its log-likelihood ratio against chance are at least these.
@@ -129,10 +129,18 @@ def _count(sample: DataFrame, candidates) -> DataFrame:
     return parts.groupBy("phrase").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
+def _sizes(longest: int):
+    """Sizes of beginnings: each up to 8 letters, then ever wider apart, so a word of n letters has about log n of them."""
+    n = SHORTEST
+    while n <= longest:
+        yield n
+        n += 1 if n < 8 else max(2, n // 4)
+
+
 def _beginnings(folded: str) -> set[str]:
     out = set()
     for w in set(folded.split()):
-        out.update(f" {w[:n]}" for n in range(SHORTEST, min(LONGEST, len(w)) + 1))
+        out.update(f" {w[:n]}" for n in _sizes(len(w)))
         out.add(f" {w} ")
     return out
 
@@ -148,17 +156,18 @@ def choose(found: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> dic
     which it says little, and to a shorter one that says nearly as much.
     """
     longer: dict[str, list[str]] = defaultdict(list)
+    sizes = sorted({len(p) for p in found})
+    below = lambda p, there: (p[:k] for k in sizes[: bisect.bisect_left(sizes, len(p))] if p[:k] in there)
     for p in found:
-        for q in (p[:k] for k in range(SHORTEST + 1, len(p))):
-            if q in found:
-                longer[q].append(p)
+        for q in below(p, found):
+            longer[q].append(p)
     entries: dict[str, float] = {}
     for p in sorted(found, key=len):
         toxic, clean = found[p]
         odds = _odds(toxic, clean, n_toxic, n_clean)
         if any(found[q][0] >= 0.8 * toxic or _odds(toxic - found[q][0], max(0, clean - found[q][1]), n_toxic, n_clean) < LEAST_ODDS / 2 for q in longer[p]):
             continue
-        shorter = [entries[p[:k]] for k in range(SHORTEST + 1, len(p)) if p[:k] in entries]
+        shorter = [entries[q] for q in below(p, entries)]
         if not shorter or odds > max(shorter) + 0.7:
             entries[p] = odds
     return entries
@@ -196,7 +205,9 @@ def _fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
 def learn(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Lexicon:
     """The lexicon of at most ``limit`` labelled rows whose crc32(doc_id) mod 4 is not 2.
 
-    Without labels of both kinds the lexicon is empty and every score is the same low value.
+    Every candidate that passes the tests of documents, odds and ratio is weighed; the bounded sample is what bounds
+    them. Null texts count as empty, equal and nearly equal ones about once. Without labels of both kinds (or rows) the
+    lexicon is empty and every score is the same low value.
     """
     picked = common.labelled_sample(docs, labels, "toxic", common.split_of(F.col("doc_id"), 4) != 2, limit)
     whole, path = common.materialize(picked, "toxic-sample")
@@ -209,11 +220,11 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Lexico
     part = lambda seen, of, n: F.when(seen > 0, seen * F.log(seen * total / (of * n))).otherwise(0.0)
     ratio = 2 * sum((part(F.col(c), hits, kinds[y]) + part(kinds[y] - F.col(c), total - hits, kinds[y]) for c, y in (("toxic", 1), ("clean", 0))), F.lit(0.0))
     strong = _count(sample, _beginnings).withColumn("odds", odds).where((F.col("toxic") >= LEAST_DOCS) & (F.col("odds") >= LEAST_ODDS) & (ratio >= LEAST_RATIO))
-    found = {r.phrase: (r.toxic, r.clean) for r in strong.orderBy((F.col("odds") * F.col("toxic")).desc(), "phrase").limit(MOST_ENTRIES).collect()}
+    found = {r.phrase: (r.toxic, r.clean) for r in strong.collect()}  # each in LEAST_DOCS of the sample's documents
     entries = choose(found, kinds[1], kinds[0])
     if entries:
         mild = _count(sample, _around(Lexicon(entries))).withColumn("odds", odds).where((F.col("clean") >= 3) & (F.col("odds") < -0.5))
-        exceptions = frozenset(r.phrase for r in mild.orderBy("odds", "phrase").limit(MOST_EXCEPTIONS).collect())
+        exceptions = frozenset(r.phrase for r in mild.select("phrase").collect())
     else:
         exceptions = frozenset()
     lexicon = Lexicon(entries, exceptions)
@@ -272,11 +283,16 @@ def score(text: Column, lexicon: Lexicon) -> Column:
 
 
 def toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, score, predicted. One pass, no shuffle."""
+    """One row per row of ``docs``: doc_id, held_out, score, predicted. One pass, no shuffle.
+
+    Null and empty texts have no match and score as such; texts of any length are matched whole; repeated ids and rows
+    have a row each; a null id counts as the empty text in the split; other columns are ignored.
+    """
     out = docs.select("doc_id", (common.split_of(F.col("doc_id"), 4) == 2).alias("held_out"), score(F.col("text"), lexicon).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= PREDICT_AT).cast("int"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``toxicity`` of the whole of ``documents`` by a lexicon of its labelled rows; an empty table has no rows."""
     docs = common.table(spark, sf_dir, "documents")
     return toxicity(docs, learn(docs, common.table(spark, sf_dir, "labels")))
