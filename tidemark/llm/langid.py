@@ -283,10 +283,16 @@ def predict(text: Column, net: Network | None) -> Column:
 
 
 def languages(docs: DataFrame, net: Network | None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, lang_pred, score. One pass, no shuffle."""
+    """One row per row of ``docs``: doc_id, held_out, lang_pred, score. One pass, no shuffle.
+
+    Null texts and those without a letter are ``und`` with score 0; every byte of a text of any length has its say;
+    equal probabilities go to the language that sorts first; repeated ids and rows have a row each; a null id counts as
+    the empty text in the split; other columns are ignored.
+    """
     return docs.select("doc_id", (common.split_of(F.col("doc_id"), 4) == 2).alias("held_out"), predict(F.col("text"), net).alias("p")).select("doc_id", "held_out", "p.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``languages`` of the whole of ``documents`` by a network of its known ones; an empty table has no rows."""
     docs = common.table(spark, sf_dir, "documents")
     return languages(docs, learn(docs))

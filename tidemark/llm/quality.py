@@ -144,11 +144,16 @@ def score(text: Column, model: Discriminant | None) -> Column:
 
 
 def quality(docs: DataFrame, model: Discriminant | None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, score, predicted. One pass, no shuffle."""
+    """One row per row of ``docs``: doc_id, held_out, score, predicted. One pass, no shuffle.
+
+    Null and empty texts have the statistics of no words; texts of any length count whole; repeated ids and rows have a
+    row each; a null id counts as the empty text in the split; other columns are ignored.
+    """
     out = docs.select("doc_id", (common.split_of(F.col("doc_id"), 5) == 0).alias("held_out"), score(F.col("text"), model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= PREDICT_AT).cast("int"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``quality`` of the whole of ``documents`` by a model of its labelled rows; an empty table has no rows."""
     docs = common.table(spark, sf_dir, "documents")
     return quality(docs, learn(docs, common.table(spark, sf_dir, "labels")))
