@@ -31,7 +31,7 @@ def votes(spark, sf_dir):
 def _term_popularity(spark, sf_dir):
     s = searches(spark, sf_dir)
     s = state.running(s, ["term", "sku"], {"chosen": ("count", F.lit(1))}, split_ms=days(7))
-    return state.running(s, ["term"], {"searched": ("count", F.lit(1))}, split_ms=days(1))
+    return state.running(s, ["term"], {"searched": ("count", F.lit(1))}, split_ms=days(1), settle=True)
 
 
 @query(f"{_SEARCH} SELECT:: event_id, term, count(*) OVER (PARTITION BY term, sku ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chosen, count(*) OVER (PARTITION BY term ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS searched FROM searches")
@@ -45,7 +45,7 @@ def naive_bayes_search(spark, sf_dir):
     """Logarithm of the product of a view's term popularities and its product's overall popularity."""
     terms = _term_popularity(spark, sf_dir).groupBy("event_id").agg(F.sum(F.log(F.col("chosen") / F.col("searched"))).alias("s"))
     v = state.running(ev.product_views(spark, sf_dir), ["sku"], {"views": ("count", F.lit(1))}, split_ms=days(7))
-    v = state.running_total(v, {"total": ("count", F.lit(1))}, days(1))
+    v = state.running_total(v, {"total": ("count", F.lit(1))}, days(1), settle=True)
     return v.join(terms, "event_id").select("event_id", F.round(F.col("s") + F.log(F.col("views") / F.col("total")), 5).alias("log_score"))
 
 
@@ -73,9 +73,9 @@ def votes_received_since_voted(spark, sf_dir):
     v = votes(spark, sf_dir)
     mine = state.running(v, ["voter"], {"before": ("max", F.col("ts"))}, strict=True, split_ms=days(7)).select("event_id", F.col("voter").alias("user"), "ts", "before")
     got = v.select(F.col("voted").alias("user"), "ts", F.lit(1).alias("one"))
-    now = state.asof_running(mine, got, ["user"], {"n": ("count", "one")}, split_ms=days(7))
+    now = state.asof_running(mine, got, ["user"], {"n": ("count", "one")}, split_ms=days(7), settle=True)
     then = now.select("event_id", "user", F.col("before").alias("ts"), F.col("n").alias("n_now"))
-    both = state.asof_running(then, got, ["user"], {"n": ("count", "one")}, split_ms=days(7))
+    both = state.asof_running(then, got, ["user"], {"n": ("count", "one")}, split_ms=days(7), settle=True)
     return both.select("event_id", (F.coalesce("n_now", F.lit(0)) - F.when(F.col("ts").isNull(), 0).otherwise(F.coalesce("n", F.lit(0)))).alias("received"))
 
 
@@ -83,7 +83,7 @@ def votes_received_since_voted(spark, sf_dir):
 def user_idle_time(spark, sf_dir):
     """At each probe: how long ago each user was last active, along the probes from each user's last time between two."""
     e = ev.raw_events(spark, sf_dir)
-    found = state.running_at_probes(e, [ev.FIRST_PROBE + i * days(1) for i in range(ev.PROBE_DAYS)], {"last": F.col("ts")}, ("user_id",), fold="max").where("last is not null")
+    found = state.running_at_probes(e, ev.probe_times(spark, sf_dir), {"last": F.col("ts")}, ("user_id",), fold="max").where("last is not null")
     return found.select("probe_ts", "user_id", (F.col("probe_ts") - F.col("last")).alias("idle_ms"))
 
 

@@ -37,11 +37,14 @@ def flagged(spark: SparkSession, sf_dir: str, strict: bool = False) -> DataFrame
     return m.withColumns({"lo": lo, "hi": hi}).join(friends(spark, sf_dir), ["lo", "hi"], "left").withColumn("is_friend", F.coalesce(since, F.lit(False))).drop("lo", "hi", "since")
 
 
-def counted(spark: SparkSession, sf_dir: str, strict: bool = False, flags: DataFrame | None = None) -> DataFrame:
-    """Messages with f and nf: the sender's messages to friends and others so far, this one included."""
-    m = flagged(spark, sf_dir, strict) if flags is None else flags
+def counted(spark: SparkSession, sf_dir: str, strict: bool = False) -> DataFrame:
+    """Messages with f and nf: the sender's messages to friends and others so far, this one included.
+
+    What the text is asked for is asked right after the scan: ``mail`` goes on, the content does not.
+    """
+    m = flagged(spark, sf_dir, strict).select("ts", "message_id", "sender", "sender_ip", has_email(F.col("content")).alias("mail"), "is_friend")
     friend = F.col("is_friend").cast("long")
-    return state.running(m, ["sender"], {"f": ("sum", friend), "nf": ("sum", 1 - friend)}, split_ms=SPLIT)
+    return state.running(m, ["sender"], {"f": ("sum", friend), "nf": ("sum", 1 - friend)}, split_ms=SPLIT, settle=True)
 
 
 def is_simple_spam(f="f", nf="nf"):
@@ -112,18 +115,14 @@ def simple_top20_spammers(spark, sf_dir):
 
 @query(f"{_COUNTED}, snap AS (SELECT p.probe_ts, s.sender, count(*) AS cnt FROM probes p JOIN simple s ON s.ts <= p.probe_ts GROUP BY ALL) SELECT:: probe_ts, sender, cnt FROM snap QUALIFY row_number() OVER (PARTITION BY probe_ts ORDER BY cnt DESC, sender) <= 20")
 def top_spammers_asof(spark, sf_dir):
-    found = state.running_at_probes(simple_spam(spark, sf_dir).withColumn("one", F.lit(1)), _probes(), {"cnt": F.col("one")}, ("sender",)).where("cnt > 0")
+    found = state.running_at_probes(simple_spam(spark, sf_dir).withColumn("one", F.lit(1)), ev.probe_times(spark, sf_dir), {"cnt": F.col("one")}, ("sender",)).where("cnt > 0")
     return state.top_k(found, TOP, "cnt", "sender", ("probe_ts",))
 
 
-def _probes() -> list[int]:
-    return [ev.FIRST_PROBE + i * days(1) for i in range(ev.PROBE_DAYS)]
-
-
 @query("SELECT:: p.probe_ts, count(*) FILTER (m.is_friend) AS friend, count(*) FILTER (NOT m.is_friend) AS nonfriend FROM probes p LEFT JOIN flagged m ON m.ts <= p.probe_ts GROUP BY p.probe_ts")
 def global_friend_counters_asof(spark, sf_dir):
     friend = F.col("is_friend").cast("long")
-    return state.running_at_probes(flagged(spark, sf_dir), _probes(), {"friend": friend, "nonfriend": 1 - friend})
+    return state.running_at_probes(flagged(spark, sf_dir), ev.probe_times(spark, sf_dir), {"friend": friend, "nonfriend": 1 - friend})
 
 
 @query("totals AS (SELECT message_id, sum(CASE WHEN is_friend THEN 1 ELSE 0 END) OVER w AS friend, count(*) OVER w AS total FROM flagged WINDOW w AS (ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT:: message_id, CAST(friend AS BIGINT) AS friend, total FROM totals")
@@ -135,7 +134,7 @@ def global_running_counters(spark, sf_dir):
 @query(f"{_COUNTED} SELECT:: p.probe_ts, count(DISTINCT s.sender) AS n FROM probes p LEFT JOIN simple s ON s.ts <= p.probe_ts GROUP BY p.probe_ts")
 def distinct_spam_users_asof(spark, sf_dir):
     first = simple_spam(spark, sf_dir).groupBy("sender").agg(F.min("ts").alias("ts"))
-    return state.running_at_probes(first, _probes(), {"n": F.lit(1)})
+    return state.running_at_probes(first, ev.probe_times(spark, sf_dir), {"n": F.lit(1)})
 
 
 def by_address(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,9 +150,9 @@ def ip_email_ratio(spark, sf_dir):
 
 def address_spam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simple spam from addresses of which over a fifth of the messages hold an e-mail address: columns of one row."""
-    mail = has_email(F.col("content")).cast("long")
+    mail = F.col("mail").cast("long")
     m = counted(spark, sf_dir)
-    both = state.running(m, ["sender_ip"], {"email": ("sum", mail), "noemail": ("sum", 1 - mail)}, split_ms=days(1))
+    both = state.running(m, ["sender_ip"], {"email": ("sum", mail), "noemail": ("sum", 1 - mail)}, split_ms=days(1), settle=True)
     return both.where(is_simple_spam() & (F.col("email") / (F.col("email") + F.col("noemail")) > EMAIL_BY_IP))
 
 
@@ -177,14 +176,29 @@ def rule1(spark, sf_dir):
 @query(f"{_RULES.replace('rule1 AS (SELECT message_id FROM simple),', '')} SELECT:: message_id FROM rule2")
 def rule2_nonfriend_burst(spark, sf_dir):
     """Over 7 messages to others in 120 minutes, to over 5 of them; a distinct set is needed, so rows are few."""
+    return nonfriend_bursts(flagged(spark, sf_dir)).select("message_id")
+
+
+def nonfriend_bursts(m: DataFrame) -> DataFrame:
     other = F.when(~F.col("is_friend"), F.col("recipient"))
-    w = state.sliding(flagged(spark, sf_dir), ["sender"], {"n": (F.count(other), minutes(120)), "who": (F.collect_set(other), minutes(120))})
-    return w.where((F.col("n") > NONFRIENDS) & (F.size("who") > RECIPIENTS)).select("message_id")
+    w = state.sliding(m, ["sender"], {"n": (F.count(other), minutes(120)), "who": (F.collect_set(other), minutes(120))})
+    return w.where((F.col("n") > NONFRIENDS) & (F.size("who") > RECIPIENTS))
+
+
+_DENSE = "dense AS (SELECT * REPLACE (1704067200000 + (ts - 1704067200000) // 60 AS ts, sender % 10 AS sender) FROM flagged), rule2 AS (SELECT message_id FROM (SELECT message_id, count(*) FILTER (NOT is_friend) OVER w AS n, list(recipient) FILTER (NOT is_friend) OVER w AS r FROM dense WINDOW w AS (PARTITION BY sender ORDER BY ts RANGE BETWEEN 7199999 PRECEDING AND CURRENT ROW)) WHERE n > 7 AND len(list_distinct(r)) > 5)"
+
+
+@query(f"{_DENSE} SELECT:: message_id FROM rule2")
+def rule2_in_dense_traffic(spark, sf_dir):
+    """Rule 2 over the same messages in a sixtieth of their time and from ten senders, where bursts are common."""
+    start = F.lit(ev.FIRST_PROBE)
+    dense = flagged(spark, sf_dir).withColumns({"ts": start + F.floor((F.col("ts") - start) / 60), "sender": F.col("sender") % 10})
+    return nonfriend_bursts(dense).select("message_id")
 
 
 def _recent() -> dict:
-    """The sliding counts that rules 3 and 4 look at."""
-    one, mail = F.count(F.lit(1)), F.count(F.when(contains_email(F.col("content")), 1))
+    """The sliding counts that rules 3 and 4 look at; ``mail`` tells whether a message holds an address."""
+    one, mail = F.count(F.lit(1)), F.count(F.when(F.col("mail"), 1))
     return {"e30": (mail, days(30)), "n30": (one, days(30)), "d1": (one, days(1)), "d7": (one, days(7))}
 
 
@@ -197,6 +211,11 @@ def with_recent(messages: DataFrame, *names: str) -> DataFrame:
     return state.sliding(messages, ["sender"], {n: w for n, w in _recent().items() if n in names})
 
 
+def asked_for_mail(messages: DataFrame) -> DataFrame:
+    """Messages with ``mail`` in the place of their content."""
+    return messages.withColumn("mail", contains_email(F.col("content"))).drop("content")
+
+
 def with_first(messages: DataFrame) -> DataFrame:
     """Messages with the time of their sender's first message: small totals, joined by sender."""
     return messages.join(messages.groupBy("sender").agg(F.min("ts").alias("first_ts")), "sender")
@@ -204,7 +223,7 @@ def with_first(messages: DataFrame) -> DataFrame:
 
 @query(f"{_RULES.replace('rule1 AS (SELECT message_id FROM simple),', '')} SELECT:: message_id FROM rule3")
 def rule3_email_share(spark, sf_dir):
-    return with_recent(ev.messages(spark, sf_dir), "e30", "n30").where(_is_mail_heavy()).select("message_id")
+    return with_recent(asked_for_mail(ev.messages(spark, sf_dir)), "e30", "n30").where(_is_mail_heavy()).select("message_id")
 
 
 def _rampup(documented: bool = False):
@@ -223,18 +242,19 @@ def rule4_ramp_up_documented(spark, sf_dir):
     return with_first(with_recent(ev.messages(spark, sf_dir), "d1", "d7")).where(_rampup(True)).select("message_id")
 
 
-def with_last_contact(messages: DataFrame) -> DataFrame:
+def with_last_contact(messages: DataFrame, settle: bool = False) -> DataFrame:
     """Messages with last_back: when the recipient last wrote to the sender, up to now; one window over the pair."""
     lo, hi = pair_key(F.col("sender"), F.col("recipient"))
     m = messages.withColumns({"lo": lo, "hi": hi})
     aggs = {"lo_wrote": ("max", F.when(F.col("sender") == F.col("lo"), F.col("ts"))), "hi_wrote": ("max", F.when(F.col("sender") == F.col("hi"), F.col("ts")))}
-    seen = state.running(m, ["lo", "hi"], aggs, split_ms=SPLIT)
+    seen = state.running(m, ["lo", "hi"], aggs, split_ms=SPLIT, settle=settle)
     return seen.withColumn("last_back", F.when(F.col("recipient") == F.col("lo"), F.col("lo_wrote")).otherwise(F.col("hi_wrote"))).drop("lo", "hi", "lo_wrote", "hi_wrote")
 
 
 def with_responses(messages: DataFrame) -> DataFrame:
     answer = F.coalesce(F.col("last_back") > F.col("ts") - days(7), F.lit(False)).cast("long")
-    return state.running(with_last_contact(messages), ["sender"], {"r": ("sum", answer), "n": ("count", F.lit(1))}, split_ms=SPLIT)
+    m = with_last_contact(messages.select("ts", "message_id", "sender", "recipient"))
+    return state.running(m, ["sender"], {"r": ("sum", answer), "n": ("count", F.lit(1))}, split_ms=SPLIT, settle=True)
 
 
 @query(f"{_RULES.replace('rule1 AS (SELECT message_id FROM simple),', '')} SELECT:: message_id FROM rule5")
@@ -243,11 +263,14 @@ def rule5_few_responses(spark, sf_dir):
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages with the full detector's score, 10 for each of rules 1, 3, 4 and 5: columns added to one row."""
+    """Messages with the full detector's score, 10 for each of rules 1, 3, 4 and 5: columns added to one row.
+
+    Events are scanned once for each kind; what a read uses twice is a table by then.
+    """
     friend = F.col("is_friend").cast("long")
     answer = F.coalesce(F.col("last_back") > F.col("ts") - days(7), F.lit(False)).cast("long")
-    m = with_last_contact(flagged(spark, sf_dir))
-    m = state.running(m, ["sender"], {"f": ("sum", friend), "nf": ("sum", 1 - friend), "r": ("sum", answer), "first_ts": ("min", F.col("ts"))}, split_ms=SPLIT)
+    m = with_last_contact(asked_for_mail(flagged(spark, sf_dir)), settle=True)
+    m = state.running(m, ["sender"], {"f": ("sum", friend), "nf": ("sum", 1 - friend), "r": ("sum", answer), "first_ts": ("min", F.col("ts"))}, split_ms=SPLIT, settle=True)
     m = with_recent(m, "e30", "n30", "d1", "d7")
     fires = [is_simple_spam(), _is_mail_heavy(), _rampup(), F.col("r") / (F.col("f") + F.col("nf")) < RESPONSE_SHARE]
     return m.withColumn("score", sum((F.when(c, SCORE).otherwise(0) for c in fires), F.lit(0)).cast("long"))
@@ -281,7 +304,8 @@ _ARRIVAL = """legacy AS (SELECT *, sum(CASE WHEN is_friend THEN 1 ELSE 0 END) OV
 def legacy_spam_report(spark, sf_dir):
     """The older detector, in order of arrival: over 5 messages to others and more than to friends."""
     friend = F.col("is_friend").cast("long")
-    m = state.running(flagged(spark, sf_dir), ["sender"], {"f": ("sum", friend), "nf": ("sum", 1 - friend)}, split_ms=SPLIT, ties="rows", tiebreak=("message_id",))
+    m = flagged(spark, sf_dir).select("ts", "message_id", "sender", "is_friend")
+    m = state.running(m, ["sender"], {"f": ("sum", friend), "nf": ("sum", 1 - friend)}, split_ms=SPLIT, ties="rows", tiebreak=("message_id",), settle=True)
     spam = F.count(F.when((F.col("nf") > 5) & (F.col("nf") > F.col("f")), 1))
     return m.groupBy("sender").agg(spam.alias("spam"), F.sum(friend).alias("friend"), F.sum(1 - friend).alias("nonfriend")).where("spam > 0")
 
@@ -325,13 +349,16 @@ def lagged_batch_ip(spark, sf_dir):
 def exact_batch_simple(spark, sf_dir):
     """Per-batch counts that add up to the full replay, by carried totals of batches."""
     friend = F.col("is_friend").cast("long")
-    m = state.running(flagged(spark, sf_dir), ["sender"], {"f": ("sum", friend), "nf": ("sum", 1 - friend)}, split_ms=days(1))
+    m = flagged(spark, sf_dir).select("ts", "message_id", "sender", "is_friend")
+    m = state.running(m, ["sender"], {"f": ("sum", friend), "nf": ("sum", 1 - friend)}, split_ms=days(1), settle=True)
     return m.where(is_simple_spam()).groupBy(batch_of(F.col("ts")).alias("batch")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("d AS (SELECT sender, floor((ts - 1704067200000) / 1296000000) AS half, count(*) AS n FROM messages GROUP BY ALL) SELECT:: coalesce(a.sender, b.sender) AS sender, CAST(coalesce(a.n, 0) + coalesce(b.n, 0) AS BIGINT) AS n FROM (SELECT * FROM d WHERE half = 0) a FULL JOIN (SELECT * FROM d WHERE half = 1) b ON a.sender = b.sender")
+@query("cut AS (SELECT (min(ts) + max(ts)) // 2 AS ts FROM messages), d AS (SELECT sender, m.ts > cut.ts AS late, count(*) AS n FROM messages m, cut GROUP BY ALL) SELECT:: coalesce(a.sender, b.sender) AS sender, CAST(coalesce(a.n, 0) + coalesce(b.n, 0) AS BIGINT) AS n FROM (SELECT * FROM d WHERE NOT late) a FULL JOIN (SELECT * FROM d WHERE late) b ON a.sender = b.sender")
 def full_outer_state_merge(spark, sf_dir):
-    """Counts of one half of the time added into the state of the other."""
-    half = batch_of(F.col("ts"), days(15))
-    counts = lambda h: ev.messages(spark, sf_dir).where(half == h).groupBy("sender").agg(F.count(F.lit(1)).alias("n"))
-    return state.merge_state(counts(0), counts(1), ["sender"], ["n"])
+    """Counts of the second half of the time added into the state of the first."""
+    m = ev.messages(spark, sf_dir)
+    ends = m.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    cut = 0 if ends.a is None else (ends.a + ends.b) // 2
+    counts = lambda rows: rows.groupBy("sender").agg(F.count(F.lit(1)).alias("n"))
+    return state.merge_state(counts(m.where(F.col("ts") <= cut)), counts(m.where(F.col("ts") > cut)), ["sender"], ["n"])

@@ -6,13 +6,13 @@ Every kind is a filter and a projection of one scan, so the filter on event_type
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampType
 
 MESSAGE_TYPES = ("click", "error", "purchase")
-PROBE_DAYS = 30
-FIRST_PROBE = 1704067200000  # 2024-01-01 00:00 UTC
+DAY = 86_400_000
+FIRST_PROBE = 1704067200000  # 2024-01-01 00:00 UTC, where batches are counted from
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,12 +29,17 @@ def shape(events: DataFrame) -> DataFrame:
     return events.select(ts.alias("ts"), "event_id", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
+def content() -> Column:
+    """A message's text, from the event's user and id."""
+    user, event = F.col("user_id"), F.col("event_id")
+    mail = ((user % 5 == 0) & (event % 2 == 0)) | (event % 10 == 0)
+    return F.when(mail, F.concat(F.lit("hi w"), user.cast("string"), F.lit("@email.com "))).otherwise("hello there")
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ts, message_id, sender, recipient, sender_ip, content."""
     user, event = F.col("user_id"), F.col("event_id")
-    mail = ((user % 5 == 0) & (event % 2 == 0)) | (event % 10 == 0)
-    content = F.when(mail, F.concat(F.lit("hi w"), user.cast("string"), F.lit("@email.com "))).otherwise("hello there")
-    return raw_events(spark, sf_dir).where(F.col("event_type").isin(*MESSAGE_TYPES)).select("ts", event.alias("message_id"), user.alias("sender"), F.col("k").alias("recipient"), (user % 15).cast("int").alias("sender_ip"), content.alias("content"))
+    return raw_events(spark, sf_dir).where(F.col("event_type").isin(*MESSAGE_TYPES)).select("ts", event.alias("message_id"), user.alias("sender"), F.col("k").alias("recipient"), (user % 15).cast("int").alias("sender_ip"), content().alias("content"))
 
 
 def friendships(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,9 +55,17 @@ def product_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_events(spark, sf_dir).where(F.col("event_type") == "purchase").select("ts", F.col("k").alias("sku"), "event_id")
 
 
-def probes(spark: SparkSession, days: int = PROBE_DAYS) -> DataFrame:
-    """One probe a day: a table of ``days`` rows, so it may be broadcast."""
-    return spark.range(days).select((F.lit(FIRST_PROBE) + F.col("id") * 86_400_000).alias("probe_ts"))
+def probe_times(spark: SparkSession, sf_dir: str) -> list[int]:
+    """The start of each day from the first event's, and the last event's time: one number a day, so all events are seen."""
+    ends = raw_events(spark, sf_dir).agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    if ends.a is None:
+        return []
+    return sorted({*range(ends.a // DAY * DAY, ends.b + 1, DAY), ends.b})
+
+
+def probes(spark: SparkSession, times: list[int]) -> DataFrame:
+    """Probe times as a table."""
+    return spark.createDataFrame([(t,) for t in times], "probe_ts long")
 
 
 SQL = f"""raw_events AS (
@@ -64,7 +77,7 @@ messages AS (
 friendships AS (SELECT ts, user_id AS user_a, k AS user_b FROM raw_events WHERE event_type = 'signup'),
 product_views AS (SELECT ts, k AS sku, event_id FROM raw_events WHERE event_type = 'view'),
 product_updates AS (SELECT ts, k AS sku, event_id FROM raw_events WHERE event_type = 'purchase'),
-probes AS (SELECT {FIRST_PROBE} + CAST(i AS BIGINT) * 86400000 AS probe_ts FROM range({PROBE_DAYS}) t(i)),
+probes AS (SELECT unnest(range(min(ts) // {DAY} * {DAY}, max(ts) + 1, {DAY})) AS probe_ts FROM raw_events UNION SELECT max(ts) FROM raw_events HAVING count(*) > 0),
 friends AS (
   SELECT least(user_a, user_b) AS lo, greatest(user_a, user_b) AS hi, min(ts) AS since FROM friendships GROUP BY ALL),
 flagged AS (
