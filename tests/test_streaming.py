@@ -37,6 +37,35 @@ def test_exact_batches_equal_the_full_replay(spark, tmp_path):
     assert sorted(found) == sorted(r.message_id for r in plans.QUERIES["simple_spam_messages"](spark, SF).collect())
 
 
+def test_state_is_kept_as_deltas_and_collected(spark, tmp_path):
+    """Many batches: bases take up deltas, what no batch needs any more is gone, and a batch that runs again agrees."""
+    rng = random.Random(5)
+    kinds = "kind string, ts long, id long, user_a long, user_b long, ip int, mail boolean"
+    rows = [("friendship" if rng.random() < 0.2 else "message", 10 * i + rng.randrange(10), i, rng.randrange(4), rng.randrange(4), rng.randrange(2), rng.random() < 0.3) for i in range(150)]
+    cuts = [rows[i : i + 10] for i in range(0, 150, 10)]
+    found = {}
+
+    def sink(df, i):
+        for r in df.collect():
+            found[r.message_id] = (r.is_friend, r.f, r.nf, r.email, r.noemail, r.is_address_spam)
+
+    target = replay.BatchSpam(spark, str(tmp_path / "state"), sink, by_address=True, compact_every=3)
+    for i, cut in enumerate(cuts):
+        target(spark.createDataFrame(cut, kinds), i)
+        if i in (5, 8):
+            before = dict(found)
+            target(spark.createDataFrame(cut, kinds), i)
+            assert found == before
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["base-11", "base-14", "delta-12", "delta-13", "delta-14"]
+    messages = [r for r in rows if r[0] == "message"]
+    for _, t, i, a, b, ip, mail in messages:
+        friend = lambda t, a, b: any(k == "friendship" and u <= t and {x, y} == {a, b} for k, u, _, x, y, *_ in rows)
+        mine = [friend(u, x, y) for _, u, _, x, y, *_ in messages if x == a and u <= t]
+        here = [m for _, u, *_, p, m in messages if p == ip and u <= t]
+        f, nf, e = sum(mine), len(mine) - sum(mine), sum(here)
+        assert found[i] == (friend(t, a, b), f, nf, e, len(here) - e, nf > 2 * f and f + nf > 5 and e / len(here) > 0.2)
+
+
 def test_exact_batches_refuse_late_events(spark, tmp_path):
     target = replay.ExactSimpleSpam(spark, str(tmp_path / "state"), lambda df, _: df.collect())
     event = lambda t: spark.createDataFrame([("message", t, 1, 1, 2)], "kind string, ts long, id long, user_a long, user_b long")

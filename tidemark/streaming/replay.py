@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,54 +11,127 @@ from pyspark.sql import functions as F
 
 from ..functions.text import pair_key, split_words
 from ..operators import state as st
-from ..plans.detectors import is_simple_spam
+from ..plans.detectors import EMAIL_BY_IP, is_simple_spam
+from ..sources.files import delete_path
 
+#: Time that one task takes of one key's rows of a batch.
+SPLIT_MS = 86_400_000
 
-class ExactSimpleSpam:
-    """``foreachBatch`` target: each micro-batch is judged as a full replay would, from carried state.
 
-    State is one folder a batch under ``path``: the first time of every pair's friendship and every sender's counts
-    so far. A batch reads the folder of the one before, so a batch that runs again writes the same. Batches must
-    come in order of time; an event not later than all of an earlier batch is an error. ``sink(frame, batch_id)``
-    gets the messages of the batch with is_friend, f, nf and is_spam.
+class BatchSpam:
+    """``foreachBatch`` target that judges messages from carried state, as the simple or the address detector does.
+
+    ``lagged=False``: each micro-batch is judged as a full replay would. ``lagged=True``: as a state that is read before
+    a batch updates it would have it - friendships and the sender's counts of earlier batches only, and of the address
+    what came before each message.
+
+    State is kept as deltas: a batch writes the friendships and the counts it adds to folders of its own under ``path``,
+    and every ``compact_every`` batches the state is added up into one base. A batch reads the last base before it and
+    the deltas after that, so a batch that runs again writes the same. Totals are all that a later read can see, so
+    older versions are forgotten with the deltas: what lies before the base that the last one was made from is deleted.
+
+    Batches must come in order of time; an event not later than all of an earlier batch is an error. ``sink(frame,
+    batch_id)`` gets the messages of the batch with is_friend, f, nf and is_spam, and with ``by_address`` also email,
+    noemail and is_address_spam. Null keys are keys; an empty batch changes nothing.
     """
 
-    def __init__(self, spark: SparkSession, path: str, sink: Callable[[DataFrame, int], None]):
-        self.spark, self.path, self.sink = spark, path, sink
+    #: Kinds of state: keys, and values with the aggregate that adds them up.
+    KINDS = {
+        "pairs": ({"lo": "long", "hi": "long"}, {"since": "min"}),
+        "sent": ({"sender": "long"}, {"f0": "sum", "nf0": "sum"}),
+        "mail": ({"sender_ip": "int"}, {"email0": "sum", "noemail0": "sum"}),
+        "seen": ({}, {"last_ts": "max"}),
+    }
 
-    def _load(self, kind: str, batch: int, schema: str) -> DataFrame:
-        if batch < 0:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{kind}-{batch}")
+    def __init__(self, spark: SparkSession, path: str, sink: Callable[[DataFrame, int], None], by_address: bool = False, lagged: bool = False, compact_every: int = 8):
+        self.spark, self.path, self.sink = spark, path, sink
+        self.by_address, self.lagged, self.every = by_address, lagged, compact_every
+
+    def _base(self, batch: int) -> int:
+        """The batch whose base holds all before this batch but the deltas after it; -1 if there is none yet."""
+        return batch // self.every * self.every - 1
+
+    def _folded(self, kind: str, parts: DataFrame) -> DataFrame:
+        keys, values = self.KINDS[kind]
+        return parts.groupBy(*keys).agg(*[getattr(F, how)(v).alias(v) for v, how in values.items()])
+
+    def _load(self, kind: str, batch: int) -> DataFrame:
+        """The state before a batch."""
+        keys, values = self.KINDS[kind]
+        schema, base = ", ".join(f"{n} {t}" for n, t in (keys | dict.fromkeys(values, "long")).items()), self._base(batch)
+        paths = [f"{self.path}/base-{base}/{kind}"] * (base >= 0) + [f"{self.path}/delta-{i}/{kind}" for i in range(base + 1, batch)]
+        parts = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return self._folded(kind, parts)
+
+    def _kinds(self) -> list[str]:
+        return [k for k in self.KINDS if self.by_address or k != "mail"]
+
+    def _add(self, kind: str, delta: DataFrame, batch: int) -> None:
+        delta.select(*(n for names in self.KINDS[kind] for n in names)).write.mode("overwrite").parquet(f"{self.path}/delta-{batch}/{kind}")
+
+    def _compact(self, batch: int) -> None:
+        if (batch + 1) % self.every:
+            return
+        for kind in self._kinds():
+            # up to and with this batch: the state before the next one, without its base, which is being made
+            old, keys, values = self._base(batch), *self.KINDS[kind]
+            paths = [f"{self.path}/base-{old}/{kind}"] * (old >= 0) + [f"{self.path}/delta-{i}/{kind}" for i in range(old + 1, batch + 1)]
+            schema = ", ".join(f"{n} {t}" for n, t in (keys | dict.fromkeys(values, "long")).items())
+            self._folded(kind, self.spark.read.schema(schema).parquet(*paths)).write.mode("overwrite").parquet(f"{self.path}/base-{batch}/{kind}")
+        old = self._base(batch)
+        for i in range(max(0, old - self.every + 1), old + 1):  # a batch that runs again needs the base ``old`` and what follows
+            delete_path(self.spark, f"{self.path}/delta-{i}")
+        if old - self.every >= 0:
+            delete_path(self.spark, f"{self.path}/base-{old - self.every}")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        """``batch``: kind (message or friendship), ts, id, user_a (sender), user_b (recipient)."""
-        pairs = self._load("pairs", batch_id - 1, "lo long, hi long, since long")
-        sent = self._load("sent", batch_id - 1, "sender long, f0 long, nf0 long")
-        seen = self._load("seen", batch_id - 1, "last_ts long").agg(F.max("last_ts").alias("t")).first().t
-        batch = batch.persist()
+        """``batch``: kind (message or friendship), ts, id, user_a (sender), user_b (recipient)[, ip, mail]."""
+        state = {k: self._load(k, batch_id) for k in self._kinds()}
+        last = state["seen"].first()
+        batch, judged = batch.persist(), None
         try:
-            if seen is not None:
-                batch_ok = st.check_no_late_writes(batch, seen)
-            else:
-                batch_ok = batch
+            rows = batch if last is None or last.last_ts is None else st.check_no_late_writes(batch, last.last_ts)
             lo, hi = pair_key(F.col("user_a"), F.col("user_b"))
-            new = batch_ok.where("kind = 'friendship'").groupBy(lo.alias("lo"), hi.alias("hi")).agg(F.min("ts").alias("since"))
-            pairs = pairs.unionByName(new).groupBy("lo", "hi").agg(F.min("since").alias("since"))
-            pairs.write.mode("overwrite").parquet(f"{self.path}/pairs-{batch_id}")
-            pairs = self._load("pairs", batch_id, "lo long, hi long, since long")
-            m = batch_ok.where("kind = 'message'").select("ts", F.col("id").alias("message_id"), F.col("user_a").alias("sender"), lo.alias("lo"), hi.alias("hi"))
-            m = m.join(pairs, ["lo", "hi"], "left").withColumn("is_friend", F.coalesce(F.col("since") <= F.col("ts"), F.lit(False))).drop("lo", "hi", "since")
+            new = rows.where("kind = 'friendship'").groupBy(lo.alias("lo"), hi.alias("hi")).agg(F.min("ts").alias("since"))
+            self._add("pairs", new, batch_id)
+            own = [F.col("ip").alias("sender_ip"), "mail"] if self.by_address else []
+            m = rows.where("kind = 'message'").select("ts", F.col("id").alias("message_id"), F.col("user_a").alias("sender"), lo.alias("lo"), hi.alias("hi"), *own)
+            touched = m.select("lo", "hi").distinct()  # of the state, only the batch's own keys go on
+            known = state["pairs"] if self.lagged else self._folded("pairs", state["pairs"].unionByName(new))
+            known = known.join(touched, ["lo", "hi"], "left_semi")
+            m = m.join(known, ["lo", "hi"], "left").withColumn("is_friend", F.coalesce(F.col("since") <= F.col("ts"), F.lit(False))).drop("lo", "hi", "since")
+            judged = m.persist()
             friend = F.col("is_friend").cast("long")
-            m = st.running(m, ["sender"], {"f": ("sum", friend), "nf": ("sum", 1 - friend)}).join(sent, "sender", "left")
-            m = m.withColumns({"f": F.col("f") + F.coalesce("f0", F.lit(0)), "nf": F.col("nf") + F.coalesce("nf0", F.lit(0))}).drop("f0", "nf0")
-            m = m.withColumn("is_spam", is_simple_spam())
-            delta = m.groupBy("sender").agg(F.sum(friend).alias("f0"), F.sum(1 - friend).alias("nf0"))
-            st.merge_state(sent, delta, ["sender"], ["f0", "nf0"]).write.mode("overwrite").parquet(f"{self.path}/sent-{batch_id}")
-            batch.agg(F.max("ts").alias("last_ts")).select(F.coalesce("last_ts", F.lit(seen).cast("long")).alias("last_ts")).write.mode("overwrite").parquet(f"{self.path}/seen-{batch_id}")
+            if self.lagged:
+                m = judged.withColumns({"f": F.lit(0).cast("long"), "nf": F.lit(0).cast("long")})
+            else:
+                m = st.running(judged, ["sender"], {"f": ("sum", friend), "nf": ("sum", 1 - friend)}, split_ms=SPLIT_MS)
+            m = self._carried(m, state["sent"], ["sender"], {"f": "f0", "nf": "nf0"}).withColumn("is_spam", is_simple_spam())
+            self._add("sent", judged.groupBy("sender").agg(F.sum(friend).alias("f0"), F.sum(1 - friend).alias("nf0")), batch_id)
+            if self.by_address:
+                mail = F.col("mail").cast("long")
+                arrival = {"strict": True, "ties": "rows", "tiebreak": ("message_id",)} if self.lagged else {}
+                m = st.running(m, ["sender_ip"], {"email": ("sum", mail), "noemail": ("sum", 1 - mail)}, split_ms=SPLIT_MS, **arrival)
+                m = self._carried(m, state["mail"], ["sender_ip"], {"email": "email0", "noemail": "noemail0"})
+                m = m.withColumn("is_address_spam", F.col("is_spam") & F.coalesce(F.col("email") / F.nullif(F.col("email") + F.col("noemail"), F.lit(0)) > EMAIL_BY_IP, F.lit(False)))
+                self._add("mail", judged.groupBy("sender_ip").agg(F.sum(mail).alias("email0"), F.sum(1 - mail).alias("noemail0")), batch_id)
+            self._add("seen", rows.agg(F.max("ts").alias("last_ts")), batch_id)
             self.sink(m, batch_id)
+            self._compact(batch_id)
         finally:
             batch.unpersist()
+            if judged is not None:
+                judged.unpersist()
+
+    @staticmethod
+    def _carried(m: DataFrame, state: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
+        """Counts of the batch with what the state has of each key added."""
+        out = m.join(state.withColumnsRenamed({k: f"__{k}" for k in keys}), reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), "left")
+        return out.withColumns({n: F.col(n) + F.coalesce(c, F.lit(0)) for n, c in columns.items()}).drop(*columns.values(), *[f"__{k}" for k in keys])
+
+
+class ExactSimpleSpam(BatchSpam):
+    """The simple detector, exact."""
 
 
 def lagged_counts(messages: DataFrame) -> DataFrame:
@@ -107,3 +181,12 @@ def word_windows(texts: DataFrame, width: str = "30 seconds", slide: str = "10 s
     words = texts.withWatermark("ts_time", delay).select("ts_time", F.explode(split_words(F.col("text"))).alias("word"))
     counts = words.groupBy(F.window("ts_time", width, slide).alias("w"), "word").agg(F.count(F.lit(1)).alias("cnt"))
     return counts.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "word", "cnt")
+
+
+def window_top_words(texts: DataFrame, sink: Callable[[DataFrame, int], None], k: int = 20, width: str = "30 seconds", slide: str = "10 seconds", delay: str = "10 seconds"):
+    """A stream writer that gives ``sink(frame, batch_id)`` the k commonest words (start, end, word, cnt) of each window.
+
+    A window's words come together, once the watermark has passed its end; ties go by word.
+    """
+    top = lambda counts, batch: sink(st.top_k(counts, k, "cnt", "word", ("start", "end")), batch)
+    return word_windows(texts, width, slide, delay).writeStream.outputMode("append").foreachBatch(top)
