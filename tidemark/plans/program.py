@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.durations import days
 from ..operators import state as st
 
 
@@ -24,13 +25,15 @@ class ProgramError(ValueError):
 class State:
     """A keyed state: how updates fold (sum, count, min, max, avg or set), and how long an update counts, if limited.
 
-    ``keys`` are names with Spark types, such as ("user long",).
+    ``keys`` are names with Spark types, such as ("user long",). ``split_ms`` is the time that one task takes of one
+    key's updates and reads; a state without keys is one key, so it needs that most.
     """
 
     name: str
     fold: str
     keys: tuple[str, ...] = ()
     width_ms: int | None = None
+    split_ms: int = days(1)
 
     @property
     def key_names(self) -> list[str]:
@@ -109,7 +112,11 @@ class Program:
         return phases
 
     def run(self, tables: dict[str, DataFrame], ts: str = "ts") -> Replay:
-        """``tables``: event tables by name, each with epoch milliseconds in ``ts``."""
+        """``tables``: event tables by name, each with epoch milliseconds in ``ts``.
+
+        The rows of a rule that reads states and that others go on from are written once, so that what follows, which
+        uses them several times, starts from a table.
+        """
         ledgers: dict[str, list[DataFrame]] = {}
         results: dict[str, DataFrame] = {}
         for phase in self.compile():
@@ -117,10 +124,12 @@ class Program:
             for name in phase:
                 r = self.rules[name]
                 rows = results[r.extends] if r.extends else tables[r.events]
-                for column, x in r.reads.items():
-                    rows = self._read(rows, column, x, ledgers[x.state], ts)
+                for i, (column, x) in enumerate(r.reads.items()):  # a read upon a read starts from a table
+                    rows = self._read(rows, column, x, ledgers[x.state], ts, settle=i > 0)
                 for column, expression in r.columns.items():
                     rows = rows.withColumn(column, expression)
+                if r.reads and (r.writes or any(o.extends == name for o in self.rules.values())):
+                    rows = st.settled(rows)
                 results[name] = rows
                 for w in r.writes:
                     s = self.states[w.state]
@@ -131,12 +140,12 @@ class Program:
                 ledgers.setdefault(k, []).extend(v)
         return Replay(self, results, {k: _union(v) for k, v in ledgers.items()}, ts)
 
-    def _read(self, rows: DataFrame, column: str, x: Read, ledgers: list[DataFrame], ts: str) -> DataFrame:
+    def _read(self, rows: DataFrame, column: str, x: Read, ledgers: list[DataFrame], ts: str, settle: bool) -> DataFrame:
         s, names = self.states[x.state], rows.columns
         keyed = rows.withColumns({f"__k{i}": k for i, k in enumerate(x.keys)} or {"__k0": F.lit(0)})
         ledger = _union(ledgers).withColumnsRenamed({k: f"__k{i}" for i, k in enumerate(s.key_names)})
         keys = [f"__k{i}" for i in range(len(s.key_names))]
-        out = st.asof_running(keyed, ledger, keys, {column: (s.fold, "v")}, ts, x.strict, s.width_ms)
+        out = st.asof_running(keyed, ledger, keys, {column: (s.fold, "v")}, ts, x.strict, s.width_ms, s.split_ms, settle=settle)
         value = F.col(column) if x.default is None else F.coalesce(F.col(column), F.lit(x.default))
         return out.select(*[n for n in names if n != column], value.alias(column))
 

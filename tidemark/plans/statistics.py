@@ -61,9 +61,9 @@ def event_stats(spark, sf_dir):
     return parts.agg(*[F.max(n).alias(n) for n in ("events", "users", "friendships", "messages")])
 
 
-@query("r AS (SELECT event_id % 4 AS part, ts, row_number() OVER (PARTITION BY event_id % 4 ORDER BY ts, event_id) AS k FROM raw_events), s AS (SELECT part, min(ts) AS a, max(ts) AS b FROM r WHERE k <= 1000 GROUP BY part) SELECT:: min(a) AS start_ts, CAST(sum(b - a) // count(*) AS DOUBLE) / 1000 AS interval_ms FROM s")
+@query("r AS (SELECT event_id % 4 AS part, ts, row_number() OVER (PARTITION BY event_id % 4 ORDER BY ts, event_id) AS k FROM raw_events), s AS (SELECT part, min(ts) AS a, max(ts) AS b FROM r WHERE k <= 10000 GROUP BY part) SELECT:: min(a) AS start_ts, CAST(sum(b - a) // count(*) AS DOUBLE) / 10000 AS interval_ms FROM s")
 def event_rate_estimate(spark, sf_dir):
-    return stats.event_rate(ev.raw_events(spark, sf_dir), F.col("event_id") % 4, 1000)
+    return stats.event_rate(ev.raw_events(spark, sf_dir), F.col("event_id") % 4)
 
 
 _COARSE = "coarse AS (SELECT event_id, ts // 3600000 * 3600000 AS ts FROM raw_events)"
@@ -76,10 +76,10 @@ def dedupe_timestamps(spark, sf_dir):
     return stats.separate_ties(coarse).select("event_id", "ts")
 
 
-@query("c AS (SELECT sender % 8 AS part, count(*) AS n FROM messages GROUP BY ALL) SELECT:: round(max(n) * count(n) / sum(n), 6) AS skew, max(n) AS largest FROM c")
+@query("c AS (SELECT sender % 8 AS part, count(*) AS n FROM messages GROUP BY ALL) SELECT:: round(max(n) * count(n) / sum(n), 6) AS skew, quantile_cont(n, 0.25) AS q1, quantile_cont(n, 0.5) AS median, quantile_cont(n, 0.75) AS q3, round(avg(n), 6) AS mean, max(n) AS largest FROM c")
 def run_skew(spark, sf_dir):
     parts = ev.messages(spark, sf_dir).groupBy((F.col("sender") % 8).alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    return stats.skew(parts, "n").select(F.round("skew", 6).alias("skew"), "largest")
+    return stats.skew(parts, "n").select(F.round("skew", 6).alias("skew"), "q1", "median", "q3", F.round("mean", 6).alias("mean"), "largest")
 
 
 _ACCESS = """cells AS (SELECT sender AS cell, ts, max(w) AS w, min(w) AS least_w FROM (
@@ -105,7 +105,7 @@ def causal_end_points(spark, sf_dir):
     return causal.end_points(_edges(spark, sf_dir))
 
 
-@query()
+@query(f"{_ACCESS}, paths AS (WITH RECURSIVE b AS (SELECT DISTINCT CAST(floor((dst_ts - 1704067200000) / 86400000) AS BIGINT) AS batch, src_ts, dst_ts FROM edges), p(batch, v, n) AS (SELECT DISTINCT batch, src_ts, CAST(0 AS BIGINT) FROM b UNION SELECT b.batch, b.dst_ts, p.n + 1 FROM p JOIN b ON b.batch = p.batch AND b.src_ts = p.v) SELECT * FROM p) SELECT:: batch, max(n) AS length, count(DISTINCT v) AS vertices FROM paths GROUP BY batch")
 def critical_path(spark, sf_dir):
-    """Longest path and vertices of each day's causal edges; iterative, so tests hold it against another program."""
+    """Longest path and vertices of each day's causal edges."""
     return causal.critical_paths(causal.batch_edges(_edges(spark, sf_dir), ev.FIRST_PROBE, days(1)))
