@@ -64,6 +64,17 @@ def test_generator_command(spark, tmp_path):
     generate.main(["tunable", "50", "300", f"{tmp_path}/t", "--splits", "2", "--by-key", "--alpha", "1.8"])
     generate.main(["uniform", "50", "300", f"{tmp_path}/u", "--splits", "3"])
     assert files.read_events(spark, f"{tmp_path}/u").count() == 300
+    for extra in ([], ["--by-key"]):
+        where = f"{tmp_path}/keep{len(extra)}"
+        for k in ("0", "1", "2"):
+            generate.main(["uniform", "50", "300", f"{where}-{k}", "--splits", "3", "--keep-only", k, *extra])
+        assert sum(files.read_events(spark, f"{where}-{k}").count() for k in range(3)) == 300
+        assert files.read_events(spark, *(f"{where}-{k}" for k in range(3))).select("id").distinct().count() == 300
+    generate.main(["uniform", "50", "301", f"{tmp_path}/b", "--batches", "3"])
+    ends = [files.read_events(spark, f"{tmp_path}/b-{i}").agg(F.count(F.lit(1)), F.min("ts"), F.max("ts")).first() for i in range(3)]
+    assert [e[0] for e in ends] == [101, 101, 99] and ends[0][2] <= ends[1][1] and ends[1][2] <= ends[2][1]
+    with pytest.raises(SystemExit):
+        generate.main(["uniform", "5", "5", f"{tmp_path}/x", "--splits", "2", "--keep-only", "2"])
     assert {r.kind for r in files.read_events(spark, f"{tmp_path}/t").select("kind").distinct().collect()} == {"message", "friendship"}
 
 
