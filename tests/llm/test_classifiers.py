@@ -162,3 +162,47 @@ def test_repeated_rows_do_not_swell_the_sample(spark):
     labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 0), (3, None)], "doc_id long, toxic int")
     rows = common.labelled_sample(docs, labels, "toxic", labels.doc_id > 0, 10).collect()
     assert sorted((r.doc_id, r.y) for r in rows) == [(1, 1), (2, 0)]
+
+
+def test_lexicon_follows_counts_of_every_candidate(spark):
+    """Counts by brute force; entries pass the tests, and a strong candidate is left out for a better one alone."""
+    import math
+    import random
+
+    import xxhash
+
+    rng = random.Random(12)
+    plain = ["".join(rng.choices("bdfgklmnprst", k=rng.randint(3, 9))) for _ in range(300)]
+    ends = ["", "s", "ed", "ing", "ly", "ness"]
+    rows, labels = [], []
+    for i in range(600):
+        toxic = rng.random() < 0.3
+        words = rng.choices(plain, k=rng.randint(4, 20))
+        if toxic:
+            words.insert(rng.randrange(len(words)), rng.choice(["zorkelwhamification", "vexo", "crumbleguts"]) + rng.choice(ends))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    lexicon = toxicity.learn(docs, marks)
+    kinds = {}
+    for (i, text), (_, y) in zip(rows, labels):
+        if split(i, 4) != 2:
+            w = toxicity.fold(text).encode().split()
+            kinds.setdefault((min(map(xxhash.xxh64_intdigest, (b" ".join(w[j : j + 3]) for j in range(len(w) - 2)))), y), text)
+    n = [sum(y == k for _, y in kinds) for k in (0, 1)]
+    found = {}
+    for (_, y), text in kinds.items():
+        for word in set(toxicity.fold(text).split()):
+            for c in {f" {word} "} | {f" {word[:k]}" for k in (3, 4, 5, 6, 7, 8, 10, 12, 15, 18, 22) if k <= len(word)}:
+                found.setdefault(c, set()).add((text, y))
+    count = {c: (sum(y for _, y in s), sum(1 - y for _, y in s)) for c, s in found.items()}
+    odds = {c: math.log((t + 0.5) / (n[1] + 1)) - math.log((f + 0.5) / (n[0] + 1)) for c, (t, f) in count.items()}
+    assert lexicon.entries and all(count[e][0] >= toxicity.LEAST_DOCS and abs(odds[e] - w) < 1e-9 and w >= toxicity.LEAST_ODDS for e, w in lexicon.entries.items())
+    for stem in ("zorkelwhamification", "vexo", "crumbleguts"):
+        assert any(f" {stem}".startswith(e) for e in lexicon.entries)
+    for e in lexicon.entries:
+        assert not any(c != e and c.startswith(e) and c in lexicon.entries and count[c][0] >= 0.8 * count[e][0] for c in count)
+    scores = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, lexicon).collect()}
+    assert sum(scores[i] == y for i, y in labels) >= 0.97 * len(labels)
+    long = spark.createDataFrame([(1, "vexo " + "clean " * 200_000), (2, "x" * 100_000 + " vexoing")], "doc_id long, text string")
+    assert all(0 <= r.score <= 1 for r in toxicity.toxicity(long, lexicon).collect())

@@ -80,3 +80,30 @@ def test_long_chain_and_hot_centre(spark):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_the_whole_table_equals_brute_force(spark):
+    """Every link of the rule among all pairs of documents is kept, and no other."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    prints = [slow_print(t) for _, t in docs]
+    want = {d: (f"{p:016x}", c) for (d, _), p, c in zip(docs, prints, slow_components([d for d, _ in docs], prints))}
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.query(spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def test_near_copies_link_as_far_as_the_rule_reaches(spark):
+    """Planted copies with more and more words changed: those within three bits are caught, all of them, and no others."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(2000)]
+    rows, pairs = [], []
+    for i in range(60):
+        text = rng.choices(words, k=400)
+        copy = list(text)
+        for at in rng.sample(range(400), i % 6):
+            copy[at] = rng.choice(words)
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(copy))]
+        pairs.append((2 * i, 2 * i + 1))
+    group = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    prints = {i: slow_print(t) for i, t in rows}
+    caught = [(a, b) for a, b in pairs if group[a] == group[b]]
+    assert caught == [(a, b) for a, b in pairs if (prints[a] ^ prints[b]).bit_count() <= 3]
+    assert all(group[a] == group[b] for a, b in pairs[::6]) and len(caught) < len(pairs)
