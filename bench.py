@@ -36,6 +36,8 @@ def main() -> None:
             plans.QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - start)
         took[name] = round(min(times), 3)
+        # the run's line as a table of runs takes it: name, partitions, events, milliseconds, events a second
+        print("CSV", name, CPUS, events, round(1000 * took[name]), round(events / took[name]), sep=",", file=sys.stderr)
     total = round(sum(took.values()), 3)
     print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": took, "sf": SF, "events": events, "events_per_sec_simple_spam": round(events / took["simple_spam_messages"])}))
     spark.stop()

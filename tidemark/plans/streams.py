@@ -62,24 +62,24 @@ def _slices(rows: DataFrame, ts: str, width: int, start: int) -> list:
 
 @query(f"{_COUNTED}, {_IP} SELECT:: s.message_id FROM simple s JOIN by_ip i USING (message_id) WHERE i.email / (i.email + i.noemail) > 0.2")
 def stream_ip(spark, sf_dir):
-    """The address detector in exact micro-batches of five days: what a full replay finds."""
+    """The address detector in exact micro-batches of ten days: what a full replay finds."""
     path = scratch_path(spark, "stream-ip")
     rows = _social(ev.raw_events(spark, sf_dir))
-    stream = _by_time(spark, rows, f"{path}/in", _slices(rows, "ts", days(5), ev.FIRST_PROBE))
-    return _judged(spark, stream, path, "is_address_spam", by_address=True, compact_every=3)
+    stream = _by_time(spark, rows, f"{path}/in", _slices(rows, "ts", days(10), ev.FIRST_PROBE))
+    return _judged(spark, stream, path, "is_address_spam", by_address=True, compact_every=2)
 
 
-@query("""cut AS (SELECT m.*, CAST(floor((m.ts - 1704067200000) / 432000000) AS BIGINT) AS batch, f.since FROM messages m LEFT JOIN friends f ON f.lo = least(m.sender, m.recipient) AND f.hi = greatest(m.sender, m.recipient)),
-stale AS (SELECT *, since IS NOT NULL AND floor((since - 1704067200000) / 432000000) < batch AS knew, sum(CASE WHEN content LIKE '%@%' THEN 1 ELSE 0 END) OVER w AS e, count(*) OVER w AS n FROM cut WINDOW w AS (PARTITION BY sender_ip ORDER BY ts, message_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+@query("""cut AS (SELECT m.*, CAST(floor((m.ts - 1704067200000) / 864000000) AS BIGINT) AS batch, f.since FROM messages m LEFT JOIN friends f ON f.lo = least(m.sender, m.recipient) AND f.hi = greatest(m.sender, m.recipient)),
+stale AS (SELECT *, since IS NOT NULL AND floor((since - 1704067200000) / 864000000) < batch AS knew, sum(CASE WHEN content LIKE '%@%' THEN 1 ELSE 0 END) OVER w AS e, count(*) OVER w AS n FROM cut WINDOW w AS (PARTITION BY sender_ip ORDER BY ts, message_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 sums AS (SELECT sender, batch, sum(CASE WHEN knew THEN 1 ELSE 0 END) AS f, sum(CASE WHEN knew THEN 0 ELSE 1 END) AS nf FROM stale GROUP BY ALL),
 past AS (SELECT sender, batch, coalesce(sum(f) OVER w, 0) AS f, coalesce(sum(nf) OVER w, 0) AS nf FROM sums WINDOW w AS (PARTITION BY sender ORDER BY batch RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT:: s.message_id FROM stale s JOIN past p USING (sender, batch) WHERE p.nf > 2 * p.f AND p.f + p.nf > 5 AND n > 0 AND e / n > 0.2""")
 def stream_ip_lagged(spark, sf_dir):
-    """The address detector with state that is read before a batch of five days updates it, the address' by message."""
+    """The address detector with state that is read before a batch of ten days updates it, the address' by message."""
     path = scratch_path(spark, "stream-ip-lagged")
     rows = _social(ev.raw_events(spark, sf_dir))
-    stream = _by_time(spark, rows, f"{path}/in", _slices(rows, "ts", days(5), ev.FIRST_PROBE))
-    return _judged(spark, stream, path, "is_address_spam", by_address=True, lagged=True, compact_every=3)
+    stream = _by_time(spark, rows, f"{path}/in", _slices(rows, "ts", days(10), ev.FIRST_PROBE))
+    return _judged(spark, stream, path, "is_address_spam", by_address=True, lagged=True, compact_every=2)
 
 
 @query(f"{_WORDS}, w AS (SELECT (ts // 15 - unnest([0, 1])) * 15 AS start, word FROM words), c AS (SELECT start, word, count(*) AS cnt FROM w GROUP BY ALL) SELECT:: start, word, cnt FROM c QUALIFY row_number() OVER (PARTITION BY start ORDER BY cnt DESC, word) <= 20")
