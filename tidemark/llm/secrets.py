@@ -36,6 +36,7 @@ _LINE_END = re.compile(r"[\x20\t]*+(?:(?:\r?\n|\\++[nr])[\x20\t]*+)++")
 _START = r"(?:(?<![A-Za-z0-9+/_-])(?!(?<=\\)[nrt])|(?<=\\[nrt]))"
 _RUN = re.compile(rf"{_START}[A-Za-z0-9+/_-]{{40,}}+={{0,2}}")
 _WRAPPED = re.compile(rf"{_START}[A-Za-z0-9+/_-]{{40,}}+(?:{_LINE_END.pattern}[A-Za-z0-9+/_-]++)++={{0,2}}")
+_LONG = re.compile(r"[A-Za-z0-9+/_-]{40}")  # without such a stretch no run of either kind is there
 _HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 _SSH = b"openssh-key-v1\0"
@@ -199,6 +200,8 @@ def structural_spans(text: str) -> list[tuple[int, int, str]]:
             head = _object(m[1])
             if head and isinstance(head.get("alg"), str) and _object(m[2]) is not None:
                 found.append((m.start(), m.end(), "jwt"))
+    if not _LONG.search(text):
+        return found
     blocks.add(s[:2] for s in found)
     for keys in (
         lambda: ((*m.span(), _kind_of(bytes.fromhex(m[0]), "der")) for m in _HEX_RUN.finditer(text) if not blocks.hold(*m.span())),
