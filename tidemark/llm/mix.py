@@ -20,7 +20,7 @@ from . import common
 
 #: Most sources and most membership patterns that are brought to the driver, and most patterns that overlapping sources
 #: join into one flow; more raise an error.
-MOST_SOURCES, MOST_PATTERNS, MOST_JOINED = 100_000, 100_000, 5_000
+MOST_SOURCES, MOST_PATTERNS, MOST_JOINED = 100_000, 100_000, 20_000
 #: A quota counts as filled when no more than this share of it is lacking.
 TOLERANCE = 0.001
 #: Documents laid end to end by one window, about.
