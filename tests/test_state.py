@@ -95,6 +95,36 @@ def test_sliding_equals_brute_force(spark, random_rows, split):
         assert (r.s, r.n, r.near) == (sum(seen), len(seen), len(brute(random_rows, (r.k, r.ts), width=5)))
 
 
+@pytest.mark.parametrize("split", [True, False])
+@pytest.mark.parametrize("strict", [True, False])
+def test_sliding_counts_of_values_and_of_distinct_ones(spark, split, strict):
+    """Ties, gaps of exactly a width, null values, null keys and null times."""
+    rng = random.Random(8)
+    rows = [(rng.choice([0, 1, None]), rng.choice([None, *range(0, 120, 4), *range(7)]), rng.choice([None, 1, 2, 3]), i) for i in range(300)]
+    aggs = {"n": ("count", F.lit(1), 13), "some": ("count", F.col("v"), 8), "who": ("distinct", F.col("v"), 8), "near": ("distinct", F.col("v"), 4), "least": (F.min("v"), 13)}
+    out = state.sliding(ledger(spark, rows, "k long, ts long, v long, id long"), ["k"], aggs, split=split, strict=strict)
+    assert out.columns == ["k", "ts", "v", "id", *aggs]
+    found = out.collect()
+    assert sorted(r.id for r in found) == list(range(300))
+    for r in found:
+        if r.ts is None:
+            if strict:
+                continue
+            seen = lambda w: [v for k, t, v, _ in rows if k == r.k and t is None]
+        else:
+            seen = lambda w: [v for k, t, v, _ in rows if k == r.k and t is not None and r.ts - w < t <= r.ts - strict]
+        distinct = lambda w: len({v for v in seen(w)} - {None})
+        assert (r.n, r.some, r.who, r.near) == (len(seen(13)), sum(v is not None for v in seen(8)), distinct(8), distinct(4))
+        assert r.least == min((v for v in seen(13) if v is not None), default=None)
+
+
+def test_sliding_counts_do_not_grow_with_the_window(spark):
+    """One key whose windows hold up to all of 150,000 rows: whoever goes over them at each row takes hours."""
+    rows = spark.range(150_000).select(F.lit(1).alias("k"), F.col("id").alias("ts"), (F.col("id") % 50).alias("v"))
+    out = state.sliding(rows, ["k"], {"n": ("count", F.lit(1), 150_000), "who": ("distinct", F.col("v"), 100_000)})
+    assert out.agg(F.sum("n"), F.sum(F.col("who"))).first()[:] == (150_000 * 150_001 // 2, 50 * 150_000 - sum(range(50)))
+
+
 def test_asof_equals_brute_force(spark, random_rows):
     asked = [(k, t) for k in (0, 1, 5) for t in range(0, 200, 7)]
     reads = spark.createDataFrame([(*a, i) for i, a in enumerate(asked)], "k long, ts long, v long")

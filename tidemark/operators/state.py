@@ -90,20 +90,62 @@ def _never_null(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]
     return rows.withColumns(made), [*made]
 
 
-def sliding(rows: DataFrame, keys: list[str], aggs: dict[str, tuple[Column, int]], ts: str = "ts", split: bool = True, strict: bool = False) -> DataFrame:
-    """``rows`` with aggregates over (ts - width, ts] of their keys: name -> (aggregate expression, width in ms).
+def sliding(rows: DataFrame, keys: list[str], aggs: dict[str, tuple], ts: str = "ts", split: bool = True, strict: bool = False) -> DataFrame:
+    """``rows`` with aggregates over (ts - width, ts] of their keys: name -> ("count" or "distinct", expression, width in
+    ms), or (aggregate expression, width).
 
-    ``strict`` leaves out what is at ts itself.
+    Counts, of values or of distinct ones that are not null, add up what comes in and goes out, so their work does not
+    grow with what a window holds. Spark goes over all of a window's rows again at each row for the others, which are for
+    narrow windows. ``strict`` leaves out what is at ts itself. Null times are one time, before all others.
 
     With ``split`` rows go to their own and the next time bucket of the longest width, so a key's windows are dealt
     by time; all widths share that shuffle and its sort.
     """
+    framed = {n: a[0].over(frame([*keys, "__bucket"] if split else keys, ts, a[1], strict)) for n, a in aggs.items() if len(a) == 2}
+    counted = {n: a for n, a in aggs.items() if len(a) == 3}
     if not split:
-        return rows.withColumns({n: a.over(frame(keys, ts, width, strict)) for n, (a, width) in aggs.items()})
-    bucket = F.floor(F.col(ts) / max(width for _, width in aggs.values()))
-    twice = rows.withColumn("__ahead", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("__bucket", bucket + F.col("__ahead"))
-    windows = {n: a.over(frame([*keys, "__bucket"], ts, width, strict)) for n, (a, width) in aggs.items()}
-    return twice.withColumns(windows).where("__ahead = 0").drop("__ahead", "__bucket")
+        out = rows.withColumns(framed)
+        out = _counted(out.withColumn("__bucket", F.col(ts).isNull()), [*keys, "__bucket"], counted, ts, strict) if counted else out
+        return out.select(*rows.columns, *aggs)
+    longest = max(a[-1] for a in aggs.values())
+    ahead = F.when(F.col(ts).isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    twice = rows.withColumn("__ahead", F.explode(ahead)).withColumn("__bucket", F.floor(F.col(ts) / longest) + F.col("__ahead"))
+    out = twice.withColumns(framed)
+    if counted:
+        out = _counted(out, [*keys, "__bucket"], counted, ts, strict, (F.col("__bucket") + 1) * longest)
+    return out.where("__ahead = 0").select(*rows.columns, *aggs)
+
+
+def _counted(rows: DataFrame, part: list[str], aggs: dict[str, tuple], ts: str, strict: bool, end: Column | None = None) -> DataFrame:
+    """``rows`` with counts over (ts - width, ts] of their ``part``: name -> ("count" or "distinct", expression, width).
+
+    Every row comes in at its time and goes out a width later; counts are running sums over both. Of the rows of one
+    value, only those come in that find none within the width before them, and those go out that none follows within it.
+    No row is read at ``end`` or later.
+    """
+    names, come, go = rows.columns, {}, {}
+    for i, (n, (kind, value, width)) in enumerate(aggs.items()):
+        some = value.isNotNull()
+        if kind == "distinct":
+            rows = rows.withColumn(f"__value{i}", value)
+            w = W.partitionBy(*part, f"__value{i}").orderBy(ts)
+            near = lambda f, gap: f(F.lit(1)).over(w).isNotNull() & F.coalesce(gap(f(ts).over(w)) < width, F.lit(True))  # noqa: E731, B023
+            rows = rows.withColumns({f"__come{i}": some & ~near(F.lag, lambda t: F.col(ts) - t), f"__go{i}": some & ~near(F.lead, lambda t: t - F.col(ts))})
+            come[n], go[n] = F.col(f"__come{i}").cast("long"), F.col(f"__go{i}").cast("long")
+        else:
+            come[n] = go[n] = some.cast("long")
+    whole = F.struct(*[F.col(f"`{c}`") for c in names])
+    at, zero = F.col(ts).cast("long"), F.lit(0).cast("long")
+    steps = [F.struct(F.lit(True).alias("read"), at.alias("at"), *[c.alias(f"__{n}") for n, c in come.items()])]
+    for width in sorted({width for _, _, width in aggs.values()}):
+        gone = [(-go[n] if a[2] == width else zero).alias(f"__{n}") for n, a in aggs.items()]
+        steps.append(F.struct(F.lit(False).alias("read"), (at + (width - 1 if strict else width)).alias("at"), *gone))
+    matters = lambda s: s["read"] | ((s["at"] < (F.lit((1 << 63) - 1) if end is None else end)) & reduce(lambda a, b: a | b, [s[f"__{n}"] != 0 for n in aggs]))
+    laid = rows.select(*part, whole.alias("__row"), F.explode(F.filter(F.array(*steps), matters)).alias("__step"))
+    laid = laid.select(*part, F.when(F.col("__step.read"), F.col("__row")).alias("__row"), F.col("__step.at").alias("__at"), *[f"__step.__{n}" for n in aggs])
+    w = W.partitionBy(*part).orderBy("__at").rangeBetween(W.unboundedPreceding, -1 if strict else W.currentRow)
+    sums = laid.withColumns({f"__{n}": F.coalesce(F.sum(f"__{n}").over(w), zero) for n in aggs})
+    return sums.where("__row is not null").select("__row.*", *[F.col(f"__{n}").alias(n) for n in aggs])
 
 
 def _with_reads(reads: DataFrame, ledger: DataFrame, keys: list[str], columns: dict[str, Column], ts: str) -> DataFrame:
@@ -138,7 +180,8 @@ def asof_running(reads: DataFrame, ledger: DataFrame, keys: list[str], aggs: dic
     both = _with_reads(reads, ledger, keys, {f"__{c}": F.col(c) for c in cols} | {"__n": F.lit(1)}, ts)
     kind = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "avg": F.avg, "set": F.collect_set}
     if width_ms is not None:
-        out = sliding(both, keys, {f"__out_{n}": (kind[k](f"__{c}"), width_ms) for n, (k, c) in aggs.items()} | {"__seen": (F.count("__n"), width_ms)}, ts, strict=strict)
+        want = {f"__out_{n}": ("count", F.col(f"__{c}"), width_ms) if k == "count" else (kind[k](f"__{c}"), width_ms) for n, (k, c) in aggs.items()}
+        out = sliding(both, keys, want | {"__seen": ("count", F.col("__n"), width_ms)}, ts, strict=strict)
     elif any(k == "set" for k, _ in aggs.values()):
         w = frame(keys, ts, strict=strict)
         out = both.withColumns({f"__out_{n}": kind[k](f"__{c}").over(w) for n, (k, c) in aggs.items()} | {"__seen": F.count("__n").over(w)})

@@ -90,8 +90,8 @@ def user_idle_time(spark, sf_dir):
 @query("SELECT:: message_id, count(*) OVER (PARTITION BY sender_ip ORDER BY ts RANGE BETWEEN 86399999 PRECEDING AND CURRENT ROW) * 2 > count(*) OVER (PARTITION BY sender_ip ORDER BY ts RANGE BETWEEN 604799999 PRECEDING AND CURRENT ROW) AS sudden FROM messages")
 def sudden_increase_by_address(spark, sf_dir):
     """Whether over half of the address' messages of seven days came in the last one."""
-    one = F.count(F.lit(1))
-    w = state.sliding(ev.messages(spark, sf_dir), ["sender_ip"], {"d1": (one, days(1)), "d7": (one, days(7))})
+    one = F.lit(1)
+    w = state.sliding(ev.messages(spark, sf_dir).select("ts", "message_id", "sender_ip"), ["sender_ip"], {"d1": ("count", one, days(1)), "d7": ("count", one, days(7))})
     return w.select("message_id", (F.col("d1") * 2 > F.col("d7")).alias("sudden"))
 
 
