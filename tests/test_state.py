@@ -1,9 +1,11 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import state
+from tidemark.plans import detectors
 
 
 def ledger(spark, rows, schema="k long, ts long, v long"):
@@ -193,3 +195,14 @@ def test_plan_of_a_running_read_has_one_exchange(spark):
     out = rows.withColumns({"a": F.sum("v").over(state.frame(["k"])), "b": F.sum("v").over(state.frame(["k"], width_ms=10))})
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_bursts_of_a_busy_sender(spark):
+    """80,000 messages of one sender in two hours and a half: the work does not grow with what the window holds."""
+    n = F.col("id")
+    m = spark.range(80_000).select((n * 113).alias("ts"), n.alias("message_id"), F.lit(1).alias("sender"), (n % 9).alias("recipient"), (n % 9 > 5).alias("is_friend"))
+    start = time.monotonic()
+    found = detectors.nonfriend_bursts(m).agg(F.count("*"), F.min("message_id"), F.max("message_id")).first()
+    others = [i for i in range(30) if i % 9 <= 5]
+    assert tuple(found) == (80_000 - others[7], others[7], 79_999)
+    assert time.monotonic() - start < 60

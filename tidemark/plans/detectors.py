@@ -175,14 +175,15 @@ def rule1(spark, sf_dir):
 
 @query(f"{_RULES.replace('rule1 AS (SELECT message_id FROM simple),', '')} SELECT:: message_id FROM rule2")
 def rule2_nonfriend_burst(spark, sf_dir):
-    """Over 7 messages to others in 120 minutes, to over 5 of them; a distinct set is needed, so rows are few."""
+    """Over 7 messages to others in 120 minutes, to over 5 of them."""
     return nonfriend_bursts(flagged(spark, sf_dir)).select("message_id")
 
 
 def nonfriend_bursts(m: DataFrame) -> DataFrame:
+    """The messages at which rule 2 fires; a recipient counts while their last message from the sender is in the window."""
     other = F.when(~F.col("is_friend"), F.col("recipient"))
-    w = state.sliding(m, ["sender"], {"n": (F.count(other), minutes(120)), "who": (F.collect_set(other), minutes(120))})
-    return w.where((F.col("n") > NONFRIENDS) & (F.size("who") > RECIPIENTS))
+    w = state.sliding(m.select("ts", "message_id", "sender", "recipient", "is_friend"), ["sender"], {"n": ("count", other, minutes(120)), "who": ("distinct", other, minutes(120))})
+    return w.where((F.col("n") > NONFRIENDS) & (F.col("who") > RECIPIENTS))
 
 
 _DENSE = "dense AS (SELECT * REPLACE (1704067200000 + (ts - 1704067200000) // 60 AS ts, sender % 10 AS sender) FROM flagged), rule2 AS (SELECT message_id FROM (SELECT message_id, count(*) FILTER (NOT is_friend) OVER w AS n, list(recipient) FILTER (NOT is_friend) OVER w AS r FROM dense WINDOW w AS (PARTITION BY sender ORDER BY ts RANGE BETWEEN 7199999 PRECEDING AND CURRENT ROW)) WHERE n > 7 AND len(list_distinct(r)) > 5)"
