@@ -115,3 +115,32 @@ def test_word_windows(spark, tmp_path):
     for (begin, word), n in got.items():
         assert n == sum(word in t.split() and begin <= s < begin + dt.timedelta(seconds=30) for s, t in rows)
     assert sum(n for (_, w), n in got.items() if w == "one") == 3 * 60
+
+
+def test_top_words_of_windows_in_batches(spark, tmp_path):
+    """Windows over several batches, late texts, empty batches and odd texts; a batch that runs again agrees."""
+    rng, start = random.Random(4), dt.datetime(2024, 1, 1)
+    rows = [(start + dt.timedelta(seconds=i + rng.randrange(-3, 4)), rng.choice([None, "", "  ", "A b  b ", "\u00c9 c", "d " * rng.randrange(1, 6)])) for i in range(90)]
+    batches = [rows[:30], [], rows[30:31], rows[31:60], [(start + dt.timedelta(seconds=5), "late")], [*rows[60:], (None, "x")], [(start + dt.timedelta(days=1), "end")]]
+    found = {}
+    target = replay.WindowTopWords(spark, str(tmp_path / "state"), lambda df, i: found.__setitem__(i, df.collect()), 2, "25 seconds", "10 seconds", "8 seconds")
+    for i, batch in enumerate(batches):
+        target(spark.createDataFrame(batch, "ts_time timestamp, text string"), i)
+        if i == 3:
+            before = sorted(found[3])
+            target(spark.createDataFrame(batch, "ts_time timestamp, text string"), i)
+            assert sorted(found[3]) == before
+    words = [(t, w) for t, x in rows if x is not None and (x == "" or x.strip(" ")) for w in x.lower().rstrip(" ").split(" ")]
+    want = set()
+    for s in range(-30, 110, 10):
+        begin = start + dt.timedelta(seconds=s)
+        end = begin + dt.timedelta(seconds=25)
+        counts = {}
+        for t, w in words:
+            if begin <= t < end:
+                counts[w] = counts.get(w, 0) + 1
+        want |= {(begin, end, w, n) for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:2]}
+    got = [tuple(r) for part in found.values() for r in part if r.start.day == 1 or r.start.year < 2024]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert not any(r[2] == "late" for r in got) and sorted(p.name for p in (tmp_path / "state").iterdir()) == ["latest-5", "latest-6", "open-5", "open-6"]
+    assert sum(r.cnt for r in spark.read.parquet(str(tmp_path / "state/open-5")).groupBy().agg(F.count("*").alias("cnt")).collect()) < 60

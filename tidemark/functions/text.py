@@ -26,6 +26,11 @@ def split_words(text: Column) -> Column:
     return F.when((text != "") & (F.rtrim(text) == ""), F.array().cast("array<string>")).otherwise(F.split(F.rtrim(F.lower(text)), " "))
 
 
+def text_of_words(text: Column) -> Column:
+    """The text whose parts between single spaces are the words of ``split_words``; null where there are none."""
+    return F.when((text != "") & (F.rtrim(text) == ""), None).otherwise(F.rtrim(F.lower(text)))
+
+
 def pair_key(a: Column, b: Column) -> tuple[Column, Column]:
     """An unordered pair as (smaller, larger)."""
     return F.least(a, b), F.greatest(a, b)

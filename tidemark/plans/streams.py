@@ -96,11 +96,13 @@ def stream_word_window(spark, sf_dir):
         return spark.createDataFrame([], "start long, word string, cnt long")
     first = docs.agg(F.min("ts")).first()[0]
     step = -(-(last - first + 1) // 4)
-    _by_time(spark, docs, f"{path}/in", [first + i * step for i in range(5)])
-    spark.range(1).select(F.timestamp_seconds(F.lit(last + 1_000_000)).alias("ts_time"), F.lit("").alias("text"), F.lit(last + 1_000_000).cast("long").alias("ts")).write.mode("append").parquet(f"{path}/in")
-    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in").select("ts_time", "text")
-    writer = window_top_words(stream, lambda df, i: df.select(F.unix_seconds("start").alias("start"), "word", "cnt").write.mode("overwrite").parquet(f"{path}/out/batch={i}"), 20, "30 seconds", "15 seconds", "1 second")
-    writer.trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint").start().awaitTermination()
+    end = spark.range(1).select(F.timestamp_seconds(F.lit(last + 1_000_000)).alias("ts_time"), F.lit("").alias("text"), F.lit(last + 1_000_000).cast("long").alias("ts"))
+    parts = [docs.where((F.col("ts") >= first + i * step) & (F.col("ts") < first + (i + 1) * step)) for i in range(4)]
+    for part in [*parts, end]:  # the stream goes on where it was each time that files have come
+        part.write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(docs.schema).parquet(f"{path}/in").select("ts_time", "text")
+        writer = window_top_words(stream, lambda df, i: df.select(F.unix_seconds("start").alias("start"), "word", "cnt").write.mode("overwrite").parquet(f"{path}/out/batch={i}"), f"{path}/state", 20, "30 seconds", "15 seconds", "1 second")
+        writer.trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint").start().awaitTermination()
     return spark.read.schema("start long, word string, cnt long, batch int").parquet(f"{path}/out").drop("batch")
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import pair_key, split_words
+from ..functions.text import pair_key, split_words, text_of_words
 from ..operators import state as st
 from ..plans.detectors import EMAIL_BY_IP, is_simple_spam
 from ..sources.files import delete_path
@@ -183,10 +186,86 @@ def word_windows(texts: DataFrame, width: str = "30 seconds", slide: str = "10 s
     return counts.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "word", "cnt")
 
 
-def window_top_words(texts: DataFrame, sink: Callable[[DataFrame, int], None], k: int = 20, width: str = "30 seconds", slide: str = "10 seconds", delay: str = "10 seconds"):
+class WindowTopWords:
+    """``foreachBatch`` target that gives ``sink(frame, batch_id)`` the k commonest words (start, end, word, cnt) of windows.
+
+    A window's words come together, with the batch that moves the watermark (the latest time so far less ``delay``) to its
+    end or past it; ties go by word. What comes later for a window is dropped. Batches: ts_time timestamp, text; null times
+    and texts have no words.
+
+    State is what later batches need and no more: the texts with a window that is still open, and the latest time. Each
+    batch writes its own under ``path`` and reads that of the batch before, so a batch that runs again does the same.
+    Texts are dealt by time, ``DEALT`` windows together, and counted where they lie: a word is never moved by itself, and a
+    task holds the distinct words of ``DEALT`` windows.
+    """
+
+    DEALT = 32
+
+    def __init__(self, spark: SparkSession, path: str, sink: Callable[[DataFrame, int], None], k: int = 20, width: str = "30 seconds", slide: str = "10 seconds", delay: str = "10 seconds"):
+        self.spark, self.path, self.sink, self.k = spark, path, sink, k
+        micros = lambda d: F.unix_micros(F.expr(f"timestamp_seconds(0) + interval '{d}'"))
+        self.width, self.slide, self.delay = spark.range(1).select(micros(width), micros(slide), micros(delay)).first()
+
+    def _starts(self, after: int | None, upto: int | None = None):
+        """The starts of a time's windows that end after some time (and up to another), from column ts."""
+        last = F.floor(F.col("ts") / self.slide) * self.slide
+        all_starts = F.transform(F.sequence(F.lit(0), F.lit(-(-self.width // self.slide) - 1)), lambda i: last - i * self.slide)
+        wanted = lambda s: (s > F.col("ts") - self.width) & (F.lit(True) if after is None else s + self.width > after) & (F.lit(True) if upto is None else s + self.width <= upto)
+        return F.filter(all_starts, wanted)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        rows = batch.where("ts_time is not null").select(F.unix_micros("ts_time").alias("ts"), "text")
+        mark = rows.agg(F.max("ts")).first()[0]
+        old, passed = None, None
+        if batch_id:
+            old = self.spark.read.schema("ts long").parquet(f"{self.path}/latest-{batch_id - 1}").first()[0]
+            rows = rows.where(F.size(self._starts(None if old is None else old - self.delay)) > 0)
+            rows = rows.unionByName(self.spark.read.schema("ts long, text string").parquet(f"{self.path}/open-{batch_id - 1}"))
+        mark = max((m for m in (mark, old) if m is not None), default=None)
+        passed, before = None if mark is None else mark - self.delay, None if old is None else old - self.delay
+        self.spark.createDataFrame([(mark,)], "ts long").write.mode("overwrite").parquet(f"{self.path}/latest-{batch_id}")
+        rows.where(F.size(self._starts(passed)) > 0).coalesce(8).write.mode("overwrite").parquet(f"{self.path}/open-{batch_id}")
+        if passed is not None:
+            self.sink(self._top(rows.withColumn("starts", self._starts(before, passed))), batch_id)
+        for kind in ("latest", "open"):
+            delete_path(self.spark, f"{self.path}/{kind}-{batch_id - 2}")
+
+    def _top(self, rows: DataFrame) -> DataFrame:
+        """The commonest words of the windows at ``starts``."""
+        deal = lambda s: F.floor(s / (self.slide * self.DEALT))
+        parts = F.explode(F.array_distinct(F.transform("starts", deal))).alias("part")
+        dealt = rows.select("starts", text_of_words(F.col("text")).alias("text"), parts).where("text is not null").repartition("part").sortWithinPartitions("part")
+        own = F.filter("starts", lambda s: deal(s) == F.col("part"))  # neighbours, the last one first
+        slide, k = self.slide, self.k
+
+        def best(slots):
+            windows: dict[int, Counter] = {}
+            for (last, n), words in slots.items():
+                for i in range(n):
+                    windows.setdefault(last - i * slide, Counter()).update(words)
+            for start, words in windows.items():
+                counts = np.fromiter(words.values(), np.int64, len(words))
+                least = np.partition(counts, -k)[-k] if len(counts) > k else 0
+                found = sorted((-n, w) for w, n in words.items() if n >= least)[:k]
+                yield pa.record_batch([pa.array([start] * len(found), pa.int64()), pa.array([w for _, w in found], pa.string()), pa.array([-n for n, _ in found], pa.int64())], ["start", "word", "cnt"])
+
+        def count(batches):
+            now, slots = None, {}
+            for batch in batches:
+                for part, last, n, text in zip(*(c.to_pylist() for c in batch.columns)):
+                    if part != now:
+                        yield from best(slots)
+                        now, slots = part, {}
+                    slots.setdefault((last, n), Counter()).update(text.split(" "))
+            yield from best(slots)
+
+        top = dealt.select("part", F.get(own, 0).alias("last"), F.size(own).alias("n"), "text").mapInArrow(count, "start long, word string, cnt long")
+        return top.select(F.timestamp_micros("start").alias("start"), F.timestamp_micros(F.col("start") + self.width).alias("end"), "word", "cnt")
+
+
+def window_top_words(texts: DataFrame, sink: Callable[[DataFrame, int], None], path: str, k: int = 20, width: str = "30 seconds", slide: str = "10 seconds", delay: str = "10 seconds"):
     """A stream writer that gives ``sink(frame, batch_id)`` the k commonest words (start, end, word, cnt) of each window.
 
-    A window's words come together, once the watermark has passed its end; ties go by word.
+    As ``WindowTopWords``, whose state is kept under ``path``. ``texts``: ts_time timestamp, text.
     """
-    top = lambda counts, batch: sink(st.top_k(counts, k, "cnt", "word", ("start", "end")), batch)
-    return word_windows(texts, width, slide, delay).writeStream.outputMode("append").foreachBatch(top)
+    return texts.writeStream.outputMode("append").foreachBatch(WindowTopWords(texts.sparkSession, path, sink, k, width, slide, delay))
